@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("clean",)
+TOPICS = ("clean", "graph")
 
 
 def load_all() -> None:

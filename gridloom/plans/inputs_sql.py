@@ -96,6 +96,44 @@ SELECT 'C' || c_custkey AS name FROM customer UNION ALL SELECT 'S' || s_suppkey
 CTES["grid_adj"] = """
 SELECT a AS src, b AS dst, distance_km AS km FROM grid UNION ALL SELECT b, a, distance_km FROM grid"""
 
+CTES["net_walks"] = """
+SELECT n_name AS origin, n_name AS node, CAST(0 AS DECIMAL(18,3)) AS km, 0 AS hops, [n_name] AS path FROM nation
+UNION ALL
+SELECT w.origin, a.dst, CAST(w.km + a.km AS DECIMAL(18,3)), w.hops + 1, list_append(w.path, a.dst)
+FROM net_walks w JOIN net_adj a ON a.src = w.node WHERE w.hops < 6 AND NOT list_contains(w.path, a.dst)"""
+
+CTES["net_closure"] = """
+SELECT origin, node, km, hops, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY origin, node ORDER BY km, hops, path) AS rn FROM net_walks) WHERE rn = 1"""
+
+CTES["grid_top"] = """
+SELECT src, dst, km FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY km, dst) AS rn FROM grid_adj) WHERE rn <= 6"""
+
+CTES["grid_bound"] = """
+SELECT origin, max(km) AS bound FROM (
+  SELECT origin, km, row_number() OVER (PARTITION BY origin ORDER BY km) AS rn FROM (
+    SELECT origin, node, min(km) AS km FROM (
+      SELECT src AS origin, dst AS node, km FROM grid_top
+      UNION ALL SELECT x.src, y.dst, x.km + y.km FROM grid_top x JOIN grid_top y ON y.src = x.dst
+      UNION ALL SELECT x.src, z.dst, x.km + y.km + z.km FROM grid_top x
+                JOIN grid_top y ON y.src = x.dst JOIN grid_top z ON z.src = y.dst
+    ) WHERE origin <> node GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY 1 HAVING count(*) = 5"""
+
+CTES["grid_ball"] = """(origin, node, km) USING KEY (origin, node) AS (
+  SELECT name, name, CAST(0 AS DECIMAL(18,3)) FROM grid_stations
+  UNION
+  SELECT b.origin, a.dst, CAST(min(b.km + a.km) AS DECIMAL(18,3))
+  FROM grid_ball b JOIN grid_adj a ON a.src = b.node
+  LEFT JOIN grid_bound g ON g.origin = b.origin
+  LEFT JOIN recurring.grid_ball r ON r.origin = b.origin AND r.node = a.dst
+  WHERE (g.bound IS NULL OR b.km + a.km <= g.bound) AND (r.km IS NULL OR b.km + a.km < r.km)
+  GROUP BY b.origin, a.dst)"""
+
+CTES["grid_near"] = """
+SELECT origin AS start, node, km, CAST(rn - 1 AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY origin ORDER BY km, node) AS rn FROM grid_ball) WHERE rn <= 6"""
+
 CTES["event_kinds"] = """
 SELECT event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1"""
 
@@ -125,7 +163,7 @@ SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2]
 def _needed(text: str, found: list[str]) -> list[str]:
     for name, body in CTES.items():
         if name not in found and re.search(rf"\b{name}\b", text):
-            _needed(body, found)
+            _needed(re.sub(rf"\b{name}\b", "", body), found)
             if name not in found:
                 found.append(name)
     return found
@@ -140,9 +178,8 @@ def with_inputs(sql: str) -> str:
     text = sql.strip()
     names = _needed(text, [])
     own = re.match(r"WITH\s+(RECURSIVE\s+)?", text, re.IGNORECASE)
-    parts = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names)
+    parts = ",\n".join(f"{n}{CTES[n].strip()}" if CTES[n].startswith("(") else f"{n} AS ({CTES[n].strip()})" for n in names)
     if own:
         rest = text[own.end():]
-        word = "WITH RECURSIVE" if own.group(1) else "WITH"
-        return f"{word} {parts}{',' if parts else ''}\n{rest}"
-    return f"WITH {parts}\n{text}" if parts else text
+        return f"WITH RECURSIVE {parts}{',' if parts else ''}\n{rest}"
+    return f"WITH RECURSIVE {parts}\n{text}" if parts else text
