@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("clean", "graph")
+TOPICS = ("clean", "graph", "routes")
 
 
 def load_all() -> None:

@@ -9,6 +9,7 @@ from gridloom.operators import network as nw
 from gridloom.operators import paths as sp
 from gridloom.operators import stations as st
 from gridloom.plans.registry import query
+from gridloom.session import cut
 
 
 @query("parallel_line_dedupe", """
@@ -36,9 +37,9 @@ def edge_lookup(t):
 
 
 @query("isolated_stations", """
-SELECT name FROM grid_stations WHERE name NOT IN (SELECT src FROM grid_adj)""")
+SELECT name FROM grid_stations WHERE name NOT IN (SELECT src FROM feeder_adj)""")
 def isolated_stations(t):
-    return nw.isolated_stations(t.grid_stations, t.grid)
+    return nw.isolated_stations(t.grid_stations, t.feeders)
 
 
 @query("station_degree", """
@@ -78,7 +79,7 @@ COMPONENTS = """
 cc(node, label) USING KEY (node) AS (
   SELECT name, name FROM grid_stations
   UNION
-  SELECT a.dst, min(c.label) FROM cc c JOIN grid_adj a ON a.src = c.node JOIN recurring.cc r ON r.node = a.dst
+  SELECT a.dst, min(c.label) FROM cc c JOIN feeder_adj a ON a.src = c.node JOIN recurring.cc r ON r.node = a.dst
   WHERE c.label < r.label GROUP BY a.dst),
 sizes AS (SELECT label, count(*) AS size FROM cc GROUP BY 1),
 ranked AS (SELECT label, size, row_number() OVER (ORDER BY size DESC, label) AS rank FROM sizes)"""
@@ -86,51 +87,51 @@ ranked AS (SELECT label, size, row_number() OVER (ORDER BY size DESC, label) AS
 
 @query("connected_components", f"WITH RECURSIVE {COMPONENTS} SELECT node AS name, label AS component FROM cc")
 def connected_components(t):
-    return cc.connected_components(t.grid_stations, t.grid)
+    return cc.connected_components(t.grid_stations, t.feeders)
 
 
 @query("component_rank", f"WITH RECURSIVE {COMPONENTS} SELECT label AS component, size, rank FROM ranked")
 def component_rank(t):
-    return cc.component_rank(cc.connected_components(t.grid_stations, t.grid))
+    return cc.component_rank(cc.connected_components(t.grid_stations, t.feeders))
 
 
 @query("component_filter", f"""WITH RECURSIVE {COMPONENTS}
 SELECT node AS name, size, rank FROM cc JOIN ranked ON ranked.label = cc.label WHERE rank = 1""")
 def component_filter(t):
-    return cc.component_members(cc.connected_components(t.grid_stations, t.grid), 1)
+    return cc.component_members(cc.connected_components(t.grid_stations, t.feeders), 1)
 
 
 @query("connectivity_gate", f"""WITH RECURSIVE {COMPONENTS}
 SELECT rank, r.size, array_to_string(list_sort(list(node))[1:6], ', ') || CASE WHEN r.size > 6 THEN ' ...' ELSE '' END AS preview
 FROM cc JOIN ranked r ON r.label = cc.label GROUP BY rank, r.size""")
 def connectivity_gate(t):
-    return cc.connectivity_report(cc.connected_components(t.grid_stations, t.grid))
+    return cc.connectivity_report(cc.connected_components(t.grid_stations, t.feeders))
 
 
 @query("network_summary", f"""WITH RECURSIVE {COMPONENTS}
 SELECT (SELECT count(*) FROM grid_stations) AS stations, (SELECT count(*) FROM lineitem) AS rows_read,
        (SELECT count(*) FROM ranked) AS components,
-       (SELECT count(*) FROM grid_stations WHERE name NOT IN (SELECT src FROM grid_adj)) AS isolated,
+       (SELECT count(*) FROM grid_stations WHERE name NOT IN (SELECT src FROM feeder_adj)) AS isolated,
        count(*) AS routable_lines, min(distance_km) AS shortest_line_km, max(distance_km) AS longest_line_km,
        CAST(sum(distance_km) AS DECIMAL(28,3)) AS total_line_km
-FROM grid""")
+FROM feeders""")
 def network_summary(t):
-    groups = cc.connected_components(t.grid_stations, t.grid_cut)
+    lines = cut(t.feeders)
+    groups = cc.connected_components(t.grid_stations, lines)
 
     def one(df):
         return df.agg(F.count("*").alias("n")).scalar()
 
-    return nw.line_extent(t.grid_cut).select(
+    return nw.line_extent(lines).select(
         one(t.grid_stations).alias("stations"), one(t.lineitem).alias("rows_read"),
         one(groups.select("component").distinct()).alias("components"),
-        one(nw.isolated_stations(t.grid_stations, t.grid_cut)).alias("isolated"), "*")
+        one(nw.isolated_stations(t.grid_stations, lines)).alias("isolated"), "*")
 
 
 @query("shortest_paths", """
 SELECT origin, node, km, hops, array_to_string(path, '>') AS path FROM net_closure""")
 def shortest_paths(t):
-    return sp.shortest_paths(t.net_cut, t.net_stations.select(F.col("name").alias("origin"))).withColumn(
-        "path", F.array_join("path", ">"))
+    return t.net_closure.withColumn("path", F.array_join("path", ">"))
 
 
 @query("closure_step", """
@@ -139,16 +140,14 @@ SELECT origin, dst AS node, CAST(c.km + a.km AS DECIMAL(18,3)) AS km, CAST(c.hop
 FROM net_closure c JOIN net_adj a ON a.src = c.node""")
 def closure_step(t):
     """One relaxation from every known way."""
-    closure = sp.shortest_paths(t.net_cut, t.net_stations.select(F.col("name").alias("origin")))
-    return sp.closure_step(closure, nw.adjacency(t.net_cut)).withColumn("path", F.array_join("path", ">"))
+    return sp.closure_step(t.net_closure, nw.adjacency(t.net_cut)).withColumn("path", F.array_join("path", ">"))
 
 
 @query("direct_line_flag", """
 SELECT c.origin, c.node AS destination, a.src IS NOT NULL AS is_direct
 FROM net_closure c LEFT JOIN net_adj a ON a.src = c.origin AND a.dst = c.node""")
 def direct_line_flag(t):
-    closure = sp.shortest_paths(t.net_cut, t.net_stations.select(F.col("name").alias("origin")))
-    return sp.direct_line_flag(closure.select("origin", F.col("node").alias("destination")), t.net_cut)
+    return sp.direct_line_flag(t.net_closure.select("origin", F.col("node").alias("destination")), t.net_cut)
 
 
 @query("nearest_stations", """
@@ -166,5 +165,5 @@ def reachability_check(t):
     """What the first supplier cannot reach."""
     first = t.supplier.agg(F.min("s_suppkey").alias("k")).selectExpr("concat('S', k) AS start")
     pool = t.grid_stations.withColumn("start", first.scalar())
-    closure = sp.shortest_paths(t.grid_cut, first.select(F.col("start").alias("origin")))
+    closure = sp.shortest_paths(t.feeders, first.select(F.col("start").alias("origin")))
     return sp.reachability(pool, closure).select("start", "name")

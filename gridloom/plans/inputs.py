@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import pricing, sequence, tours
+from gridloom.operators.paths import nearest_stations, shortest_paths
 from gridloom.session import cut
 
 TABLES = (
@@ -122,15 +124,18 @@ class Inputs:
         return self.nation.select(F.col("n_name").alias("name"))
 
     @cached_property
-    def grid(self) -> DataFrame:
-        """The customer-supplier network, whose stations and lines grow with the data."""
-        pairs = (
+    def grid_pairs(self) -> DataFrame:
+        return (
             self.measured_lineitem.select("l_orderkey", "l_suppkey", "qty")
             .join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(F.expr("concat('C', o_custkey)").alias("a"), F.expr("concat('S', l_suppkey)").alias("b"))
             .agg(F.sum("qty").alias("qty"))
         )
-        return self._sparse(pairs).selectExpr(
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        """The customer-supplier network, whose stations and lines grow with the data."""
+        return self._sparse(self.grid_pairs).selectExpr(
             "a", "b",
             "CAST(CAST((200000000 + qty) div (2 * qty) AS DECIMAL(18,0)) * 0.001 AS DECIMAL(18,3)) AS distance_km",
         )
@@ -160,6 +165,112 @@ class Inputs:
                 "THEN CAST(l.v + r.v AS DECIMAL(18,4)) END AS energy_loss_mw")
         )
 
+    @cached_property
+    def feeders(self) -> DataFrame:
+        """Strong lines only: an end's busiest pair, if enough runs over it. Many groups, some lone stations."""
+        def busiest(end, other):
+            by = Window.partitionBy(end).orderBy(F.desc("qty"), other)
+            return self.grid_pairs.withColumn("rn", F.row_number().over(by)).where("rn = 1 AND qty >= 70").drop("rn")
+        return busiest("a", "b").union(busiest("b", "a")).distinct().selectExpr(
+            "a", "b", "CAST(qty AS DECIMAL(18,3)) AS distance_km")
+
+    @cached_property
+    def near(self) -> DataFrame:
+        """The five stations nearest to every customer and supplier, and itself at rank 0."""
+        return cut(nearest_stations(self.grid_cut, self.grid_stations.select(F.col("name").alias("origin")), 5))
+
+    @cached_property
+    def instances(self) -> DataFrame:
+        """(instance_id, name, km, rank): the full instances of six stations around every station."""
+        full = self.near.groupBy("origin").agg(F.count("*").alias("n")).where("n = 6")
+        return self.near.join(full, "origin", "left_semi").select(
+            F.col("origin").alias("instance_id"), F.col("node").alias("name"), "km", "rank")
+
+    @cached_property
+    def instance_closure(self) -> DataFrame:
+        """Shortest paths between members of one instance; no member is further than over the start."""
+        far = self.instances.groupBy("instance_id").agg(F.max("km").alias("far"))
+        sources = self.instances.join(far, "instance_id").select(
+            F.col("name").alias("origin"), (F.col("km") + F.col("far")).alias("max_km"))
+        return shortest_paths(self.grid_cut, sources)
+
+    @cached_property
+    def instance_costs(self) -> DataFrame:
+        return cut(tours.cost_pairs(self.instances.select("instance_id", "name"), self.instance_closure))
+
+    @cached_property
+    def instance_tables(self) -> DataFrame:
+        return tours.matrices(self.instance_costs)
+
+    @cached_property
+    def instance_starts(self) -> DataFrame:
+        return self.instances.where("rank = 0").select("instance_id", F.col("name").alias("start"))
+
+    @cached_property
+    def net_closure(self) -> DataFrame:
+        return shortest_paths(self.net_cut, self.net_stations.select(F.col("name").alias("origin")))
+
+    @cached_property
+    def net_tours(self) -> DataFrame:
+        """Nearest-neighbour tours of the nation network, one from every start."""
+        members = self.net_stations.select(F.lit("net").alias("instance_id"), "name")
+        tables = tours.matrices(tours.cost_pairs(members, self.net_closure))
+        starts = self.net_stations.select(F.lit("net").alias("instance_id"), F.col("name").alias("start"))
+        return cut(tours.nn_tours(tables, starts))
+
+    @cached_property
+    def net_orders(self) -> DataFrame:
+        return self.net_tours.select(
+            F.col("start").alias("tour_id"), "start", tours.stop_names().alias("stops"), "total_km")
+
+    @cached_property
+    def net_legs(self) -> DataFrame:
+        """The legs of those tours with distance and path: (tour_id, step, origin, destination, km, path, is_direct)."""
+        return tours.travelled_legs(tours.tour_legs(self.net_orders), self.net_closure, self.net_cut)
+
+    @cached_property
+    def walk_stops(self) -> DataFrame:
+        """What each user did in order, a stay at one event type collapsed to its first event."""
+        events = self.events.select("user_id", "ts", "event_id", "event_type", "value").withColumn(
+            "hour", F.date_trunc("hour", "ts"))
+        return sequence.collapse_repeats(events, ["user_id"], "hour", ["ts", "event_id"], "event_type")
+
+    @staticmethod
+    def _as_legs(stops: DataFrame, step: str) -> DataFrame:
+        path = F.when(F.col("value") >= 1, F.array("prev_event_type", "event_type")).otherwise(
+            F.array().cast("array<string>"))
+        return stops.where("prev_event_type IS NOT NULL").select(
+            F.col("user_id").cast("string").alias("route_id"), F.expr(step).alias("step"),
+            F.col("prev_event_type").alias("origin"), F.col("event_type").alias("destination"), path.alias("path"))
+
+    @cached_property
+    def walk_hops(self) -> DataFrame:
+        """Every user's walk as legs named by their event, which needs no numbering."""
+        return self._as_legs(self.walk_stops, "event_id")
+
+    @cached_property
+    def walk_numbered(self) -> DataFrame:
+        return sequence.with_position(self.walk_stops, ["user_id"], "hour", ["ts", "event_id"])
+
+    @cached_property
+    def walk_legs(self) -> DataFrame:
+        """Every user's walk as numbered legs; a small event records no path."""
+        return self._as_legs(self.walk_numbered, "step - 1")
+
+    @cached_property
+    def walk_counts(self) -> DataFrame:
+        return pricing.step_counts(self.walk_hops, self.event_lines)
+
+    @cached_property
+    def half_counts(self) -> DataFrame:
+        """Steps of each user's first and second half as two routes: route_id, user_id, label."""
+        halves = self.walk_numbered.withColumn(
+            "half", F.when(2 * (F.col("step") - 1) <= F.col("step_count") - 1, "classical").otherwise("hybrid"))
+        legs = self._as_legs(
+            halves.withColumn("user_id", F.concat_ws("/", "user_id", "half")), "step - 1")
+        return pricing.step_counts(legs, self.event_lines).withColumn(
+            "user_id", F.substring_index("route_id", "/", 1)).withColumn("label", F.substring_index("route_id", "/", -1))
+
     @cached_property
     def corpus(self) -> DataFrame:
         return self.documents.selectExpr(

@@ -144,6 +144,128 @@ SELECT l.event_type AS a, r.event_type AS b, CAST(l.n + r.n AS DECIMAL(18,3)) AS
 FROM event_kinds l JOIN event_kinds r ON l.event_type < r.event_type
 WHERE NOT (l.event_type = 'error' AND r.event_type = 'signup')"""
 
+CTES["feeders"] = """
+SELECT a, b, CAST(qty AS DECIMAL(18,3)) AS distance_km
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY qty DESC, b) AS ra,
+             row_number() OVER (PARTITION BY b ORDER BY qty DESC, a) AS rb FROM grid_pairs)
+WHERE qty >= 70 AND (ra = 1 OR rb = 1)"""
+
+CTES["feeder_adj"] = """
+SELECT a AS src, b AS dst, distance_km AS km FROM feeders UNION ALL SELECT b, a, distance_km FROM feeders"""
+
+CTES["inst"] = """
+SELECT start AS instance_id, node AS name, km, rank FROM grid_near
+WHERE start IN (SELECT start FROM grid_near GROUP BY start HAVING count(*) = 6)"""
+
+CTES["inst_bound"] = """
+SELECT i.name AS origin, max(i.km + r.far) AS bound
+FROM inst i JOIN (SELECT instance_id, max(km) AS far FROM inst GROUP BY 1) r ON r.instance_id = i.instance_id
+GROUP BY 1"""
+
+CTES["inst_ball"] = """(origin, node, km) USING KEY (origin, node) AS (
+  SELECT origin, origin, CAST(0 AS DECIMAL(18,3)) FROM inst_bound
+  UNION
+  SELECT b.origin, a.dst, CAST(min(b.km + a.km) AS DECIMAL(18,3))
+  FROM inst_ball b JOIN grid_adj a ON a.src = b.node
+  JOIN inst_bound g ON g.origin = b.origin
+  LEFT JOIN recurring.inst_ball r ON r.origin = b.origin AND r.node = a.dst
+  WHERE b.km + a.km <= g.bound AND (r.km IS NULL OR b.km + a.km < r.km)
+  GROUP BY b.origin, a.dst)"""
+
+CTES["inst_costs"] = """
+SELECT i.instance_id, i.name AS origin, j.name AS node, b.km
+FROM inst i JOIN inst j ON j.instance_id = i.instance_id
+LEFT JOIN inst_ball b ON b.origin = i.name AND b.node = j.name"""
+
+CTES["inst_nn"] = """(instance_id, cur, stops, km) AS (
+  SELECT instance_id, name, [name], CAST(0 AS DECIMAL(18,3)) FROM inst WHERE rank = 0
+  UNION ALL
+  SELECT instance_id, node, stops, km FROM (
+    SELECT t.instance_id, c.node, list_append(t.stops, c.node) AS stops, CAST(t.km + c.km AS DECIMAL(18,3)) AS km,
+           row_number() OVER (PARTITION BY t.instance_id ORDER BY c.km, c.node) AS rn
+    FROM inst_nn t JOIN inst_costs c ON c.instance_id = t.instance_id AND c.origin = t.cur
+    WHERE NOT list_contains(t.stops, c.node)) WHERE rn = 1)"""
+
+CTES["inst_tours"] = """
+SELECT t.instance_id, t.stops, CAST(t.km + c.km AS DECIMAL(18,3)) AS total_km
+FROM inst_nn t JOIN inst_costs c ON c.instance_id = t.instance_id AND c.origin = t.cur AND c.node = t.instance_id
+WHERE len(t.stops) = 6"""
+
+CTES["inst_exact"] = """
+SELECT instance_id, stops, total_km FROM (
+  SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY total_km, stops) AS rn FROM (
+    SELECT c1.instance_id, [c1.origin, c1.node, c2.node, c3.node, c4.node, c5.node] AS stops,
+           CAST(c1.km + c2.km + c3.km + c4.km + c5.km + c6.km AS DECIMAL(18,3)) AS total_km
+    FROM inst_costs c1
+    JOIN inst_costs c2 ON c2.instance_id = c1.instance_id AND c2.origin = c1.node
+    JOIN inst_costs c3 ON c3.instance_id = c1.instance_id AND c3.origin = c2.node
+    JOIN inst_costs c4 ON c4.instance_id = c1.instance_id AND c4.origin = c3.node
+    JOIN inst_costs c5 ON c5.instance_id = c1.instance_id AND c5.origin = c4.node
+    JOIN inst_costs c6 ON c6.instance_id = c1.instance_id AND c6.origin = c5.node
+    WHERE c1.origin = c1.instance_id AND c6.node = c1.instance_id
+      AND len(list_distinct([c1.origin, c1.node, c2.node, c3.node, c4.node, c5.node])) = 6)) WHERE rn = 1"""
+
+CTES["net_nn"] = """(start, cur, stops, km) AS (
+  SELECT n_name, n_name, [n_name], CAST(0 AS DECIMAL(18,3)) FROM nation
+  UNION ALL
+  SELECT start, node, stops, km FROM (
+    SELECT t.start, c.node, list_append(t.stops, c.node) AS stops, CAST(t.km + c.km AS DECIMAL(18,3)) AS km,
+           row_number() OVER (PARTITION BY t.start ORDER BY c.km, c.node) AS rn
+    FROM net_nn t JOIN net_closure c ON c.origin = t.cur
+    WHERE NOT list_contains(t.stops, c.node)) WHERE rn = 1)"""
+
+CTES["net_orders"] = """
+SELECT t.start AS tour_id, t.start, t.stops, CAST(t.km + c.km AS DECIMAL(18,3)) AS total_km
+FROM net_nn t JOIN net_closure c ON c.origin = t.cur AND c.node = t.start
+WHERE len(t.stops) = (SELECT count(*) FROM nation)"""
+
+CTES["net_legs"] = """
+SELECT tour_id, CAST(i AS INTEGER) AS step, origin, destination, c.km, c.path, a.src IS NOT NULL AS is_direct
+FROM (SELECT tour_id, unnest(range(1, len(stops) + 1)) AS i, unnest(stops) AS origin,
+             unnest(list_append(stops[2:], stops[1])) AS destination FROM net_orders) l
+LEFT JOIN net_closure c ON c.origin = l.origin AND c.node = l.destination
+LEFT JOIN net_adj a ON a.src = l.origin AND a.dst = l.destination"""
+
+CTES["walk_stops"] = """
+SELECT user_id, event_id, event_type, prev_event_type, value,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n
+FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_event_type FROM events)
+WHERE prev_event_type IS NULL OR prev_event_type <> event_type"""
+
+CTES["walk_legs"] = """
+SELECT CAST(user_id AS VARCHAR) AS route_id, pos - 1 AS step, prev_event_type AS origin, event_type AS destination,
+       value >= 1 AS has_path, least(prev_event_type, event_type) AS a, greatest(prev_event_type, event_type) AS b,
+       CASE WHEN 2 * (pos - 1) <= n - 1 THEN 'classical' ELSE 'hybrid' END AS label
+FROM walk_stops WHERE prev_event_type IS NOT NULL"""
+
+CTES["walk_counts"] = """
+SELECT l.*, e.a IS NOT NULL AND l.has_path AS matched, e.distance_km, e.energy_loss_mw
+FROM (SELECT route_id, has_path, a, b, count(*) AS traversals FROM walk_legs GROUP BY ALL) l
+LEFT JOIN event_lines e ON e.a = l.a AND e.b = l.b"""
+
+CTES["half_counts"] = """
+SELECT l.*, e.a IS NOT NULL AND l.has_path AS matched, e.distance_km, e.energy_loss_mw
+FROM (SELECT route_id AS user_id, label, has_path, a, b, count(*) AS traversals FROM walk_legs GROUP BY ALL) l
+LEFT JOIN event_lines e ON e.a = l.a AND e.b = l.b"""
+
+CTES["walk_loss"] = """
+SELECT route_id, line_count, traversal_count, revisited_lines, total_energy_loss_mw, traversal_energy_loss_mw,
+       lines_missing_loss, unmatched_steps, lines_missing_loss = 0 AND unmatched_steps = 0 AS complete,
+       CAST(total_energy_loss_mw * 1000 AS DECIMAL(28,4)) AS energy_loss_kwh_per_hour,
+       CAST(total_energy_loss_mw * 1000 * 6.60 AS DECIMAL(30,4)) AS loss_cost_per_hour_inr,
+       CAST(CAST(total_energy_loss_mw * 1000 * 6.60 AS DECIMAL(30,4)) * 8760 AS DECIMAL(34,4)) AS loss_cost_per_year_inr,
+       missing
+FROM (SELECT route_id, count(*) FILTER (matched) AS line_count,
+             CAST(coalesce(sum(traversals) FILTER (matched), 0) AS BIGINT) AS traversal_count,
+             count(*) FILTER (matched AND traversals > 1) AS revisited_lines,
+             CAST(coalesce(sum(energy_loss_mw) FILTER (matched), 0) AS DECIMAL(28,4)) AS total_energy_loss_mw,
+             CAST(coalesce(sum(energy_loss_mw * traversals) FILTER (matched), 0) AS DECIMAL(28,4)) AS traversal_energy_loss_mw,
+             count(*) FILTER (matched AND energy_loss_mw IS NULL) AS lines_missing_loss,
+             CAST(coalesce(sum(traversals) FILTER (NOT matched), 0) AS BIGINT) AS unmatched_steps,
+             coalesce(string_agg(a || ' - ' || b, ', ' ORDER BY a || ' - ' || b)
+                      FILTER (matched AND energy_loss_mw IS NULL), '') AS missing
+      FROM walk_counts GROUP BY route_id)"""
+
 CTES["corpus"] = """
 SELECT 'index' AS corpus_id, 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id,
        CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'dataset'
