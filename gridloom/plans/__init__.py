@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("clean", "graph", "routes")
+TOPICS = ("clean", "graph", "routes", "tours")
 
 
 def load_all() -> None:

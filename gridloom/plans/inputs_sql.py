@@ -220,7 +220,7 @@ FROM net_nn t JOIN net_closure c ON c.origin = t.cur AND c.node = t.start
 WHERE len(t.stops) = (SELECT count(*) FROM nation)"""
 
 CTES["net_legs"] = """
-SELECT tour_id, CAST(i AS INTEGER) AS step, origin, destination, c.km, c.path, a.src IS NOT NULL AS is_direct
+SELECT tour_id, CAST(i AS INTEGER) AS step, l.origin, l.destination, c.km, c.path, a.src IS NOT NULL AS is_direct
 FROM (SELECT tour_id, unnest(range(1, len(stops) + 1)) AS i, unnest(stops) AS origin,
              unnest(list_append(stops[2:], stops[1])) AS destination FROM net_orders) l
 LEFT JOIN net_closure c ON c.origin = l.origin AND c.node = l.destination
