@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("clean", "graph", "routes", "tours")
+TOPICS = ("clean", "graph", "routes", "tours", "retrieval")
 
 
 def load_all() -> None:
