@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("clean", "graph", "routes", "tours", "retrieval")
+TOPICS = ("clean", "graph", "routes", "tours", "retrieval", "chunks")
 
 
 def load_all() -> None:

@@ -279,6 +279,17 @@ class Inputs:
             "WHEN source IN ('src4', 'src5', 'src6') THEN 'code' ELSE 'doc' END AS kind",
             "concat(lang, ' document') AS title", "source AS locator", "text")
 
+    @cached_property
+    def md_docs(self) -> DataFrame:
+        """Documents as Markdown: some line openings become headings, some become fenced code."""
+        text = F.concat(F.lit("# "), "source", F.lit("\n\n"), "text")
+        text = F.regexp_replace(text, "\n(A[a-z]* )", "\n\n## $1\n\n")
+        text = F.regexp_replace(text, "\n(E[a-z]* )", "\n\n### $1\n\n")
+        text = F.regexp_replace(text, "\n(I[a-z]* )", "\n```\n# $1\n```\n \n")
+        return self.documents.select(
+            F.col("doc_id"), F.concat(F.lit("Docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"),
+            text.alias("text"), F.when(F.col("lang") == "en", "Kept as written.").alias("standing"), "lang")
+
     @cached_property
     def questions(self) -> DataFrame:
         """Planted benchmark passages and what users asked in conversations."""

@@ -273,6 +273,66 @@ SELECT 'index' AS corpus_id, 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS
        lang || ' document' AS title, source AS locator, text
 FROM documents"""
 
+CTES["md_docs"] = r"""
+SELECT doc_id, 'Docs/' || doc_id || '.md' AS file, lang,
+       CASE WHEN lang = 'en' THEN 'Kept as written.' END AS standing,
+       regexp_replace(regexp_replace(regexp_replace('# ' || source || chr(10) || chr(10) || text,
+         '\n(A[a-z]* )', chr(10) || chr(10) || '## \1' || chr(10) || chr(10), 'g'),
+         '\n(E[a-z]* )', chr(10) || chr(10) || '### \1' || chr(10) || chr(10), 'g'),
+         '\n(I[a-z]* )', chr(10) || '```' || chr(10) || '# \1' || chr(10) || '```' || chr(10) || ' ' || chr(10), 'g') AS text
+FROM documents"""
+
+CTES["md_lines"] = r"""
+SELECT doc_id, i, line, regexp_matches(ltrim(line), '^```') AS fence,
+       (sum(CAST(regexp_matches(ltrim(line), '^```') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i)) % 2 = 1 AS inside
+FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line
+      FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM md_docs))"""
+
+CTES["md_marked"] = r"""
+SELECT *, NOT fence AND NOT inside AND regexp_matches(line, '^#{1,6}\s+') AS head,
+       length(regexp_extract(line, '^(#{1,6})\s+', 1)) AS level, trim(regexp_extract(line, '^#{1,6}\s+(.*)$', 1)) AS title
+FROM md_lines"""
+
+CTES["md_sections"] = r"""
+SELECT s.doc_id, s.sec, s.body, coalesce(t.trail, '') AS trail
+FROM (SELECT doc_id, sec, trim(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), chr(10) || ' ' || chr(9) || chr(13)) AS body
+      FROM (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM md_marked) GROUP BY 1, 2) s
+LEFT JOIN (
+  SELECT h.doc_id, h.sec, string_agg(g.title, ' > ' ORDER BY g.i) AS trail
+  FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM md_marked WHERE head) h
+  JOIN md_marked g ON g.doc_id = h.doc_id AND g.head AND g.i <= h.i
+  WHERE NOT EXISTS (SELECT 1 FROM md_marked x WHERE x.doc_id = g.doc_id AND x.head AND x.i > g.i AND x.i <= h.i AND x.level <= g.level)
+  GROUP BY 1, 2) t ON t.doc_id = s.doc_id AND t.sec = s.sec
+WHERE s.body <> ''"""
+
+CTES["md_merged"] = r"""
+SELECT doc_id, acc.out || CASE WHEN acc.body <> '' THEN [{'trail': acc.trail, 'body': acc.body, 'whole': true}] ELSE [] END AS secs
+FROM (SELECT doc_id, list_reduce(list({'t': trail, 'b': body} ORDER BY sec), lambda a, s:
+        CASE WHEN length(CASE WHEN a.body <> '' THEN a.body || chr(10) || chr(10) || s.b ELSE s.b END) < 200
+        THEN {'trail': CASE WHEN a.body <> '' AND a.trail <> '' THEN a.trail ELSE s.t END,
+              'body': CASE WHEN a.body <> '' THEN a.body || chr(10) || chr(10) || s.b ELSE s.b END, 'out': a.out}
+        ELSE {'trail': '', 'body': '', 'out': list_append(a.out, {
+              'trail': CASE WHEN a.body <> '' AND a.trail <> '' THEN a.trail ELSE s.t END,
+              'body': CASE WHEN a.body <> '' THEN a.body || chr(10) || chr(10) || s.b ELSE s.b END, 'whole': false})} END,
+        {'trail': '', 'body': '', 'out': CAST([] AS STRUCT(trail VARCHAR, body VARCHAR, whole BOOLEAN)[])}) AS acc
+      FROM md_sections GROUP BY doc_id)"""
+
+CTES["md_pieces"] = r"""
+SELECT doc_id, sec, trail, unnest(range(0, len(ps))) AS part, unnest(ps) AS piece FROM (
+  SELECT doc_id, sec, s.trail AS trail, CASE WHEN s.whole THEN [s.body] ELSE acc.out || CASE WHEN acc.cur <> '' THEN [acc.cur] ELSE [] END END AS ps
+  FROM (SELECT doc_id, sec, s, list_reduce(
+          list_filter(regexp_split_to_array(s.body, '\n\s*\n'), lambda p: trim(p, chr(10) || ' ' || chr(9)) <> ''), lambda a, p:
+          CASE WHEN a.cur = '' THEN {'cur': p, 'out': a.out}
+               WHEN length(a.cur) + 2 + length(p) <= 1400 THEN {'cur': a.cur || chr(10) || chr(10) || p, 'out': a.out}
+               ELSE {'cur': right(a.cur, 160) || chr(10) || chr(10) || p, 'out': list_append(a.out, a.cur)} END,
+          {'cur': '', 'out': CAST([] AS VARCHAR[])}) AS acc
+        FROM (SELECT doc_id, unnest(range(0, len(secs))) AS sec, unnest(secs) AS s FROM md_merged)))"""
+
+CTES["md_chunks"] = r"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, part) - 1 AS position, trail,
+       trim(CASE WHEN trail <> '' THEN '[' || trail || ']' || chr(10) ELSE '' END || piece, chr(10) || ' ' || chr(9) || chr(13)) AS piece
+FROM md_pieces"""
+
 CTES["questions"] = """
 SELECT 'b' || item_id AS qid, text AS question FROM benchmark
 UNION ALL
