@@ -64,7 +64,7 @@ def slug(c: Column) -> Column:
 
 def number_text(value: Column, unit: str = "", decimals: int = 3) -> Column:
     """Grouped digits without trailing zeros, then the unit; or that nothing is recorded."""
-    shown = F.format_number(value, decimals)
+    shown = F.format_number(value.cast("double"), decimals)
     if decimals > 0:
         shown = F.regexp_replace(shown, r"\.?0+$", "")
     shown = F.concat(shown, F.lit(f" {unit}")) if unit else shown

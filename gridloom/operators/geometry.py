@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.sequence import with_previous, with_running_sum
 
-LENGTH = "decimal(28,9)"
+STEP, LENGTH = "decimal(18,9)", "decimal(28,9)"
 
 
 def project_xy(points: DataFrame, width: float, height: float, padding: float = 54.0) -> DataFrame:
@@ -45,7 +45,7 @@ def arc_length(vertices: DataFrame, route: str, slice_: str, order: str) -> Data
     seen = with_previous(vertices, [route], slice_, [order], ["x", "y"])
     step = F.hypot(F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y"))
     return with_running_sum(
-        seen.withColumn("seg", F.coalesce(step, F.lit(0.0)).cast(LENGTH)), [route], slice_, [order], "seg", "walked")
+        seen.withColumn("seg", F.coalesce(step, F.lit(0.0)).cast(STEP)), [route], slice_, [order], "seg", "walked", LENGTH)
 
 
 def arc_midpoint(vertices: DataFrame, route: str, slice_: str, order: str) -> DataFrame:

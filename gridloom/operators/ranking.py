@@ -38,3 +38,20 @@ def preview(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
     return counts.join(shown, keys).select(
         *keys, "total",
         F.concat(F.array_join("_first", ", "), F.when(F.col("total") > n, " ...").otherwise("")).alias("preview"))
+
+
+def legs_limit(legs: DataFrame, route: str, n: int = 30) -> DataFrame:
+    """The first `n` legs of each route as text and how many further there are.
+
+    Legs beyond the first `n` are dropped from the listing before it is gathered
+    and only counted, so a very long route costs a count.
+    """
+    by = Window.partitionBy(route).orderBy("step")
+    line = F.concat(F.col("step").cast("string"), F.lit(": "), F.col("origin"), F.lit(" -> "), F.col("destination"))
+    shown = (
+        legs.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= n)
+        .groupBy(route).agg(F.array_sort(F.collect_list(F.struct("step", line.alias("line")))).alias("l")))
+    counts = legs.groupBy(route).agg(F.count("*").alias("legs"))
+    return counts.join(shown, route).select(
+        route, "legs", F.greatest(F.col("legs") - n, F.lit(0)).cast("bigint").alias("further"),
+        F.array_join(F.transform("l", lambda x: x.line), "; ").alias("listed"))

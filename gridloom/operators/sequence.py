@@ -38,16 +38,24 @@ def with_position(df: DataFrame, keys: list[str], slice_: str, order: list[str],
         *df.columns, (F.col("skip") + F.col("_at")).alias(name), F.col("all").alias(f"{name}_count"))
 
 
-def with_running_sum(df: DataFrame, keys: list[str], slice_: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Add the running sum of `value` up to and including the row, and ``<name>_total``."""
+def with_running_sum(df: DataFrame, keys: list[str], slice_: str, order: list[str], value: str, name: str,
+                     as_type: str = "bigint") -> DataFrame:
+    """Add the running sum of `value` up to and including the row, and ``<name>_total``.
+
+    Sums are kept as `as_type`. Without that a decimal would lose places, since
+    every sum of sums asks for ten more digits.
+    """
+    def kept(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0)).cast(as_type)
+
     whole = Window.partitionBy(*keys)
-    sums = _slices(df, keys, slice_, s=F.coalesce(F.sum(value), F.lit(0)))
-    offsets = sums.withColumn("skip", F.sum("s").over(whole.orderBy(slice_)) - F.col("s")).withColumn(
-        "all", F.sum("s").over(whole)).drop("s")
+    sums = _slices(df, keys, slice_, s=kept(F.sum(value)))
+    offsets = sums.withColumn("skip", kept(kept(F.sum("s").over(whole.orderBy(slice_))) - F.col("s"))).withColumn(
+        "all", kept(F.sum("s").over(whole))).drop("s")
     inner = Window.partitionBy(*keys, slice_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    running = df.withColumn("_in", kept(F.sum(value).over(inner)))
     return running.join(offsets, [*keys, slice_]).select(
-        *df.columns, (F.col("skip") + F.col("_in")).alias(name), F.col("all").alias(f"{name}_total"))
+        *df.columns, kept(F.col("skip") + F.col("_in")).alias(name), F.col("all").alias(f"{name}_total"))
 
 
 def collapse_repeats(df: DataFrame, keys: list[str], slice_: str, order: list[str], value: str) -> DataFrame:

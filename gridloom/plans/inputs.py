@@ -126,10 +126,11 @@ class Inputs:
     @cached_property
     def grid_pairs(self) -> DataFrame:
         return (
-            self.measured_lineitem.select("l_orderkey", "l_suppkey", "qty")
+            self.measured_lineitem.selectExpr(
+                "l_orderkey", "l_suppkey", "qty", "CAST(price * disc AS DECIMAL(18,4)) AS loss")
             .join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(F.expr("concat('C', o_custkey)").alias("a"), F.expr("concat('S', l_suppkey)").alias("b"))
-            .agg(F.sum("qty").alias("qty"))
+            .agg(F.sum("qty").alias("qty"), F.sum("loss").alias("loss"))
         )
 
     @cached_property
@@ -138,6 +139,7 @@ class Inputs:
         return self._sparse(self.grid_pairs).selectExpr(
             "a", "b",
             "CAST(CAST((200000000 + qty) div (2 * qty) AS DECIMAL(18,0)) * 0.001 AS DECIMAL(18,3)) AS distance_km",
+            "CASE WHEN loss > 0 THEN CAST(loss AS DECIMAL(24,4)) END AS energy_loss_mw",
         )
 
     @cached_property

@@ -81,11 +81,12 @@ CTES["net_adj"] = """
 SELECT a AS src, b AS dst, distance_km AS km FROM net UNION ALL SELECT b, a, distance_km FROM net"""
 
 CTES["grid_pairs"] = """
-SELECT 'C' || o_custkey AS a, 'S' || l_suppkey AS b, CAST(sum(qty) AS BIGINT) AS qty
+SELECT 'C' || o_custkey AS a, 'S' || l_suppkey AS b, CAST(sum(qty) AS BIGINT) AS qty, sum(CAST(price * disc AS DECIMAL(18,4))) AS loss
 FROM li JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2"""
 
 CTES["grid"] = """
-SELECT a, b, CAST(CAST((200000000 + qty) // (2 * qty) AS DECIMAL(18,0)) * 0.001 AS DECIMAL(18,3)) AS distance_km
+SELECT a, b, CAST(CAST((200000000 + qty) // (2 * qty) AS DECIMAL(18,0)) * 0.001 AS DECIMAL(18,3)) AS distance_km,
+       CASE WHEN loss > 0 THEN CAST(loss AS DECIMAL(24,4)) END AS energy_loss_mw
 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY qty DESC, b) AS ra,
              row_number() OVER (PARTITION BY b ORDER BY qty DESC, a) AS rb FROM grid_pairs)
 WHERE ra <= 2 OR rb <= 2"""
