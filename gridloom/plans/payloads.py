@@ -277,3 +277,13 @@ def index_sink(t):
     path = scratch_path(t.spark, "index")
     index.save_index(t.corpus, path)
     return index.load_index(t.spark, path).select("id", "kind", "title", "locator", F.md5("text").alias("digest"))
+
+
+@query("index_source", """
+SELECT kind, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM corpus WHERE kind <> 'code' GROUP BY 1""")
+def index_source(t):
+    """Two kinds of a stored index; the other kind's files are not read."""
+    path = scratch_path(t.spark, "index")
+    index.save_index(t.corpus, path)
+    return index.load_index(t.spark, path).where("kind <> 'code'").groupBy("kind").agg(
+        F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))

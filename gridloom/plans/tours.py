@@ -89,6 +89,17 @@ def tour_length(t):
     return closed.join(tr.tour_length(orders, t.net_closure, closed=False).withColumnRenamed("km", "open_km"), "tour_id")
 
 
+@query("segment_length", """
+SELECT instance_id AS tour_id, CAST(sum(c.km) AS DECIMAL(28,3)) AS km
+FROM (SELECT instance_id, unnest(stops[:5]) AS origin, unnest(stops[2:]) AS node FROM inst_tours) l
+JOIN inst_costs c USING (instance_id, origin, node) GROUP BY 1""")
+def segment_length(t):
+    """Open length of the tour inside every instance."""
+    orders = tr.nn_tours(t.instance_tables, t.instance_starts).select(
+        F.col("instance_id").alias("tour_id"), tr.stop_names().alias("stops"))
+    return tr.tour_length(orders, t.instance_closure, closed=False)
+
+
 @query("tour_totals", """
 SELECT tour_id, CAST(sum(km) AS DECIMAL(28,3)) AS total_km, count(*) AS stations_visited,
        count(*) FILTER (is_direct) AS direct_legs
