@@ -115,25 +115,25 @@ def wrapped_chain(stops: Column, width: int = 72) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Strip one plural or tense ending, then a closing e, while a real word remains."""
+    """Strip one plural or tense ending, then a closing e, while a real word remains.
+
+    Only the number of characters to drop is decided by the cases, so the token is
+    cut once and the expression stays cheap in generated code.
+    """
     n = F.length(token)
 
     def ends(suffix: str) -> Column:
-        return token.endswith(suffix) & (n - len(suffix) >= MIN_STEM)
-
-    def without(count: int) -> Column:
-        return F.substring(token, F.lit(1), n - count)
-
-    base = (
-        F.when(ends("ings"), without(4))
-        .when(ends("ing"), without(3))
-        .when(ends("ies"), F.concat(without(3), F.lit("y")))
-        .when(ends("es") | ends("ed"), without(2))
-        .when(ends("s"), without(1))
-        .otherwise(token)
-    )
-    trimmed = F.regexp_replace(base, rf"^(.{{{MIN_STEM},}})e$", "$1")
-    return F.when((n > MIN_STEM) & token.rlike("^[a-z]+$"), trimmed).otherwise(token)
+        return token.endswith(suffix) & (n >= len(suffix) + MIN_STEM)
+
+    plural_y = ends("ies")
+    ending = (
+        F.when(ends("ings"), 4).when(ends("ing"), 3).when(ends("es") | ends("ed"), 2).when(ends("s"), 1).otherwise(0))
+    left = n - ending
+    closing = F.when((left > MIN_STEM) & (F.substring(token, left, F.lit(1)) == "e"), 1).otherwise(0)
+    short = (
+        F.when(plural_y, F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
+        .otherwise(F.substring(token, F.lit(1), left - closing)))
+    return F.when((n > MIN_STEM) & token.rlike("^[a-z]+$"), short).otherwise(token)
 
 
 def raw_tokens(text: Column) -> Column:

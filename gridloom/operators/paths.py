@@ -12,34 +12,39 @@ KM = "decimal(18,3)"
 
 
 def closure_step(frontier: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every station one line beyond the frontier, the best way there per origin."""
+    """Every station one line beyond the frontier: distance, and hops and chain where the frontier has them."""
     f, e = frontier.alias("f"), lines.alias("e")
+    chain = [(F.col("f.hops") + 1).alias("hops"), F.array_append("f.path", F.col("e.dst")).alias("path")]
+    limit = [F.col("f.max_km").alias("max_km")]
     reached = f.join(e, F.col("f.node") == F.col("e.src")).select(
         F.col("f.origin").alias("origin"), F.col("e.dst").alias("node"),
-        (F.col("f.km") + F.col("e.km")).cast(KM).alias("km"), (F.col("f.hops") + 1).alias("hops"),
-        F.array_append("f.path", F.col("e.dst")).alias("path"),
-        *([F.col("f.max_km").alias("max_km")] if "max_km" in frontier.columns else []))
-    if "max_km" in frontier.columns:
-        reached = reached.where("km <= max_km").drop("max_km")
-    return reached
+        (F.col("f.km") + F.col("e.km")).cast(KM).alias("km"),
+        *(chain if "path" in frontier.columns else []), *(limit if "max_km" in frontier.columns else []))
+    return reached.where("km <= max_km").drop("max_km") if "max_km" in frontier.columns else reached
 
 
 def _merge(state: DataFrame, reached: DataFrame) -> DataFrame:
-    """The better of what is known and what was reached, flagged where it changed."""
-    known = state.select("origin", "node", F.struct("km", "hops", "path").alias("way"), F.lit(True).alias("known"))
-    new = reached.select("origin", "node", F.struct("km", "hops", "path").alias("way"), F.lit(False).alias("known"))
+    """The better of what is known and what was reached, flagged where it changed.
+
+    Without chains the comparison is on the distance alone, a plain hash aggregate.
+    """
+    chains = "path" in state.columns
+    way = F.struct("km", "hops", "path") if chains else F.col("km")
+    known = state.select("origin", "node", way.alias("way"), F.lit(True).alias("known"))
+    new = reached.select("origin", "node", way.alias("way"), F.lit(False).alias("known"))
     best = known.union(new).groupBy("origin", "node").agg(
         F.min("way").alias("way"), F.min(F.when(F.col("known"), F.col("way"))).alias("old"))
-    return best.select("origin", "node", "way.*", (F.col("old").isNull() | (F.col("way") < F.col("old"))).alias("changed"))
+    changed = (F.col("old").isNull() | (F.col("way") < F.col("old"))).alias("changed")
+    return best.select("origin", "node", *(["way.*"] if chains else [F.col("way").alias("km")]), changed)
 
 
-def _seed(origins: DataFrame) -> DataFrame:
+def _seed(origins: DataFrame, chains: bool) -> DataFrame:
     return origins.select(
-        "origin", F.col("origin").alias("node"), F.lit(0).cast(KM).alias("km"), F.lit(0).alias("hops"),
-        F.array("origin").alias("path"), F.lit(True).alias("changed"))
+        "origin", F.col("origin").alias("node"), F.lit(0).cast(KM).alias("km"),
+        *([F.lit(0).alias("hops"), F.array("origin").alias("path")] if chains else []), F.lit(True).alias("changed"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, chains: bool = True) -> DataFrame:
     """Distance, hops and station chain from each source: (origin, node, km, hops, path).
 
     `sources` has `origin` and, if a search should stop at a distance, `max_km`.
@@ -47,12 +52,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
     asked for named sources or within a distance. Ways of equal length are told
     apart by fewer hops, then by the names on the way, which makes the result the
     same on every run. Only stations whose way improved are extended in a round.
+    With `chains` off only distances are kept, which is several times cheaper.
     """
     lines = cut(adjacency(edges))
     limited = "max_km" in sources.columns
     limits = cut(sources.groupBy("origin").agg(F.max("max_km").alias("max_km"))) if limited else None
     origins = limits.select("origin") if limited else sources.select("origin").distinct()
-    state = cut(_seed(origins))
+    state = cut(_seed(origins, chains))
     rounds = 0
     while (max_hops is None or rounds < max_hops) and not state.where("changed").isEmpty():
         frontier = state.where("changed").drop("changed")
@@ -63,7 +69,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
     return state.drop("changed")
 
 
-def nearest_stations(edges: DataFrame, origins: DataFrame, k: int) -> DataFrame:
+def nearest_stations(edges: DataFrame, origins: DataFrame, k: int, chains: bool = False) -> DataFrame:
     """The `k` stations nearest to each origin by (distance, name), and the origin at rank 0.
 
     A station among the k nearest is reached over stations that are nearer still,
@@ -73,7 +79,7 @@ def nearest_stations(edges: DataFrame, origins: DataFrame, k: int) -> DataFrame:
     """
     lines = cut(nearest_lines(edges, k + 1))
     order = Window.partitionBy("origin").orderBy("km", "node")
-    state = cut(_seed(origins.select("origin").distinct()))
+    state = cut(_seed(origins.select("origin").distinct(), chains))
     while not state.where("changed").isEmpty():
         frontier = state.where("changed").drop("changed")
         merged = _merge(state, closure_step(frontier, lines))

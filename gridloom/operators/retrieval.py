@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import clip_text, raw_tokens, stem, strip, tokenize
+from gridloom.session import cut
 
 # Results must equal the ones users already have.
 K1 = 1.5
@@ -47,22 +48,26 @@ def question_filter(questions: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame) -> DataFrame:
     """Term counts per chunk over title, locator and text: (corpus_id, term, id, tf, doc_len).
 
-    A chunk is one row, so the count is finished within its own task before the
-    shuffle. Words are stemmed once per distinct word of a chunk, not per use.
+    A chunk is one row, so its counts are complete within its own task and only
+    finished counts enter the shuffle. The outer explode keeps Spark from testing
+    the token list for emptiness first, which would cut every text twice.
     """
     tokens = raw_tokens(F.concat_ws(" ", "title", "locator", "text"))
     words = chunks.select("corpus_id", "id", tokens.alias("tokens")).select(
-        "corpus_id", "id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("word"))
-    counted = words.groupBy("corpus_id", "id", "doc_len", "word").agg(F.count("*").alias("n"))
-    return counted.groupBy("corpus_id", stem(F.col("word")).alias("term"), "id", "doc_len").agg(
-        F.sum("n").cast("int").alias("tf"))
+        "corpus_id", "id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("word"))
+    return words.where("word IS NOT NULL").groupBy("corpus_id", stem(F.col("word")).alias("term"), "id").agg(
+        F.count("*").cast("int").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks and mean length per corpus; chunks without a single term count in both."""
-    size = F.size(raw_tokens(F.concat_ws(" ", "title", "locator", "text")))
-    return chunks.select("corpus_id", size.alias("n")).groupBy("corpus_id").agg(
-        F.count("*").alias("chunks"), F.avg("n").alias("avg_len"))
+def corpus_stats(chunks: DataFrame, posted: DataFrame) -> DataFrame:
+    """Chunks and mean length per corpus; chunks without a single term count in both.
+
+    Lengths are the sums of the counts, so the texts are not read again.
+    """
+    sizes = chunks.groupBy("corpus_id").agg(F.count("*").alias("chunks"))
+    terms = posted.groupBy("corpus_id").agg(F.sum("tf").alias("terms"))
+    return sizes.join(terms, "corpus_id", "left").select(
+        "corpus_id", "chunks", (F.coalesce("terms", F.lit(0)) / F.col("chunks")).alias("avg_len"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -74,7 +79,8 @@ def question_terms(questions: DataFrame) -> DataFrame:
     terms = F.array_distinct(tokenize(F.col("question")))
     needed = F.greatest(F.lit(1), F.ceil(F.lit(MIN_TERM_COVERAGE) * F.size("terms"))).cast("int")
     return questions.select("qid", "corpus_id", terms.alias("terms")).select(
-        "qid", "corpus_id", needed.alias("needed"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+        "qid", "corpus_id", needed.alias("needed"), F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term")
+    ).where("term IS NOT NULL")
 
 
 def _weighted(terms: DataFrame, frequency: DataFrame, stats: DataFrame) -> DataFrame:
@@ -82,12 +88,12 @@ def _weighted(terms: DataFrame, frequency: DataFrame, stats: DataFrame) -> DataF
 
     A question has at most a few hundred terms, so ordering them is small work.
     """
-    seen = F.coalesce("df", F.lit(0))
+    terms = terms.join(frequency, ["corpus_id", "term"], "left").join(stats, "corpus_id").withColumn(
+        "df", F.coalesce("df", F.lit(0)))
+    seen = F.col("df")
     idf = F.greatest(F.log(1 + (F.col("chunks") - seen + 0.5) / (seen + 0.5)), F.lit(IDF_FLOOR))
     order = Window.partitionBy("qid", "corpus_id").orderBy(seen, "term")
-    return (
-        terms.join(frequency, ["corpus_id", "term"], "left").join(stats, "corpus_id")
-        .select("*", idf.alias("idf"), F.row_number().over(order).alias("place")))
+    return terms.select("*", idf.alias("idf"), F.row_number().over(order).alias("place"))
 
 
 def _contribution() -> Column:
@@ -97,30 +103,53 @@ def _contribution() -> Column:
     return F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, posted: DataFrame | None = None) -> DataFrame:
-    """Scores of all chunks that match enough of a question: (qid, corpus_id, id, score, matched).
+def _direct(terms: DataFrame, posted: DataFrame) -> DataFrame:
+    """Every term of a question against its whole list."""
+    return terms.join(posted, ["corpus_id", "term"]).select(
+        "qid", "corpus_id", "id", "needed", _contribution().alias("score"), F.lit(1).alias("matched"))
 
-    `questions` has (qid, corpus_id, question); each corpus is scored by its own
-    counts. A chunk must match `needed` of a question's n terms, so it matches at
-    least one of any n - needed + 1 of them. Candidates are therefore found over
-    the rarest n - needed + 1 terms alone; the commonest terms, whose lists are
-    longest, are only looked up for candidates already found. Nothing is lost by
-    this, and no list of a common term is ever joined whole.
-    """
-    posted = postings(chunks) if posted is None else posted
-    terms = _weighted(question_terms(questions), document_frequency(posted), corpus_stats(chunks))
+
+def _rare_first(terms: DataFrame, posted: DataFrame) -> DataFrame:
+    """The rare terms find the candidates; the common ones are looked up for those alone."""
     rare = F.col("place") <= F.col("n_terms") - F.col("needed") + 1
-    first = terms.where(rare).join(posted, ["corpus_id", "term"]).select(
-        "qid", "corpus_id", "id", "needed", _contribution().alias("part"))
-    found = first.groupBy("qid", "corpus_id", "id", "needed").agg(
-        F.sum("part").alias("score"), F.count("*").alias("matched"))
+    found = _direct(terms.where(rare), posted).groupBy("qid", "corpus_id", "id", "needed").agg(
+        F.sum("score").alias("score"), F.sum("matched").alias("matched"))
     common = terms.where(~rare & (F.col("df") > 0)).select("qid", "corpus_id", "term", "idf", "avg_len")
-    second = (
+    looked_up = (
         found.select("qid", "corpus_id", "id", "needed").join(common, ["qid", "corpus_id"])
         .join(posted, ["corpus_id", "id", "term"])
         .select("qid", "corpus_id", "id", "needed", _contribution().alias("score"), F.lit(1).cast("bigint").alias("matched")))
-    scored = found.select("qid", "corpus_id", "id", "needed", "score", "matched").unionByName(second)
-    return scored.groupBy("qid", "corpus_id", "id", "needed").agg(
+    return found.select("qid", "corpus_id", "id", "needed", "score", "matched").unionByName(looked_up)
+
+
+def _prefer_rare_first(terms: DataFrame) -> bool:
+    """Compare the rows the two ways would join; the list lengths are known exactly."""
+    rare = F.col("place") <= F.col("n_terms") - F.col("needed") + 1
+    per_question = terms.groupBy("qid", "corpus_id").agg(
+        F.sum("df").alias("all"), F.sum(F.when(rare, F.col("df")).otherwise(0)).alias("rare"),
+        F.count_if(~rare & (F.col("df") > 0)).alias("common"))
+    volume = per_question.agg(
+        F.sum("all").alias("direct"), F.sum(F.col("rare") * (F.col("common") + 1)).alias("rare_first")).first()
+    return volume["direct"] is not None and volume["rare_first"] * 2 < volume["direct"]
+
+
+def bm25(questions: DataFrame, chunks: DataFrame, posted: DataFrame | None = None,
+         rare_first: bool | None = None) -> DataFrame:
+    """Scores of all chunks that match enough of a question: (qid, corpus_id, id, score, matched).
+
+    `questions` has (qid, corpus_id, question); each corpus is scored by its own
+    counts. A chunk must match `needed` of a question's n terms, so it matches at
+    least one of any n - needed + 1 of them. Where common terms have very long
+    lists, the rarest n - needed + 1 terms alone find the candidates and the
+    common ones are only looked up for those. Both ways give the same scores; the
+    one that joins fewer rows is taken, going by the exact list lengths.
+    """
+    posted = cut(postings(chunks)) if posted is None else posted
+    terms = cut(_weighted(question_terms(questions), document_frequency(posted), corpus_stats(chunks, posted)))
+    if rare_first is None:
+        rare_first = _prefer_rare_first(terms)
+    parts = _rare_first(terms, posted) if rare_first else _direct(terms, posted)
+    return parts.groupBy("qid", "corpus_id", "id", "needed").agg(
         F.sum("score").alias("score"), F.sum("matched").alias("matched")
     ).where("matched >= needed AND score > 0")
 
@@ -155,7 +184,7 @@ def composite_search(questions: DataFrame, chunks: DataFrame, top_k: int = TOP_K
                      index: str = "index") -> DataFrame:
     """The index and each caller's own run, scored apart and merged with reserved places."""
     slots = min(reserved, max(1, top_k // 2))
-    top = top_k_per_query(bm25(questions, chunks), top_k).join(
+    top = cut(top_k_per_query(bm25(questions, chunks), top_k)).join(
         chunks.select("corpus_id", "id", "kind"), ["corpus_id", "id"])
     from_index = top.where(F.col("corpus_id") == index).drop("corpus_id")
     from_run = top.where((F.col("corpus_id") != index) & (F.col("place") <= slots)).drop("corpus_id")

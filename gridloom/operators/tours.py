@@ -180,7 +180,7 @@ def circular_windows(tours: DataFrame, window: int) -> DataFrame:
     stops = F.col("stops")
     seats = F.transform(F.sequence(F.lit(0), F.size(stops) - 1), lambda o: F.struct(
         o.alias("offset"), _window(stops, o, window).alias("seats")))
-    return tours.where(F.size("stops") >= window + 2).select("instance_id", "start", "names", F.inline(seats))
+    return tours.where(F.size("names") >= window + 2).select("instance_id", "start", "names", F.inline_outer(seats))
 
 
 def window_scores(tours: DataFrame, window: int) -> DataFrame:
@@ -195,7 +195,9 @@ def window_scores(tours: DataFrame, window: int) -> DataFrame:
                 F.transform(best.p, lambda k: F.get(F.col("names"), F.get(seats, k + 1))).alias("ordering"))))
 
     scored = F.transform(F.sequence(F.lit(0), F.size(stops) - 1), score)
-    return tours.where(F.size("stops") >= window + 2).select("instance_id", "start", F.inline(scored)).select(
+    # A tour visits all names, so their number decides; asking for the stops here, or for
+    # a non-empty list below, would make Spark compute the folds twice.
+    return tours.where(F.size("names") >= window + 2).select("instance_id", "start", F.inline_outer(scored)).select(
         "instance_id", "start", "offset", to_km(F.col("now")).alias("current_km"), to_km(F.col("best")).alias("best_km"),
         "ordering")
 
@@ -271,7 +273,7 @@ def tour_legs(tours: DataFrame) -> DataFrame:
     n = F.size("stops")
     legs = F.transform("stops", lambda stop, i: F.struct(
         (i + 1).alias("step"), stop.alias("origin"), F.get(F.col("stops"), (i + 1) % n).alias("destination")))
-    return tours.select("tour_id", F.inline(legs))
+    return tours.select("tour_id", F.inline_outer(legs))
 
 
 def travelled_legs(legs: DataFrame, closure: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from gridloom.plans.registry import query
 @query("markdown_sections", """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INTEGER) AS section, trail, body FROM md_sections""")
 def markdown_sections(t):
-    return t.md_docs.select("doc_id", F.posexplode(ck.markdown_sections(F.col("text"))).alias("section", "s")).select(
+    return t.md_docs.select("doc_id", F.posexplode_outer(ck.markdown_sections(F.col("text"))).alias("section", "s")).where("section IS NOT NULL").select(
         "doc_id", "section", "s.trail", "s.body")
 
 
@@ -20,7 +20,7 @@ SELECT doc_id, CAST(sec AS INTEGER) AS section, s.trail AS trail, s.body AS body
 FROM (SELECT doc_id, unnest(range(0, len(secs))) AS sec, unnest(secs) AS s FROM md_merged)""")
 def merge_small_sections(t):
     merged = ck.merge_small_sections(ck.markdown_sections(F.col("text")))
-    return t.md_docs.select("doc_id", F.posexplode(merged).alias("section", "s")).select(
+    return t.md_docs.select("doc_id", F.posexplode_outer(merged).alias("section", "s")).where("section IS NOT NULL").select(
         "doc_id", "section", "s.trail", "s.body", "s.whole")
 
 
@@ -35,12 +35,12 @@ SELECT doc_id, CAST(unnest(range(0, len(ps))) AS INTEGER) AS part, unnest(ps) AS
       {'cur': '', 'out': CAST([] AS VARCHAR[])}) AS acc FROM documents))""")
 def pack_paragraphs(t):
     body = F.regexp_replace("text", "\n", "\n\n")
-    return t.documents.select("doc_id", F.posexplode(ck.pack_paragraphs(body)).alias("part", "piece"))
+    return t.documents.select("doc_id", F.posexplode_outer(ck.pack_paragraphs(body)).alias("part", "piece")).where("part IS NOT NULL")
 
 
 @query("chunk_markdown", "SELECT doc_id, CAST(position AS INTEGER) AS position, trail, piece FROM md_chunks")
 def chunk_markdown(t):
-    return t.md_docs.select("doc_id", F.posexplode(ck.chunk_markdown(F.col("text"))).alias("position", "c")).select(
+    return t.md_docs.select("doc_id", F.posexplode_outer(ck.chunk_markdown(F.col("text"))).alias("position", "c")).where("position IS NOT NULL").select(
         "doc_id", "position", "c.trail", "c.piece")
 
 

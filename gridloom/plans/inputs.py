@@ -189,16 +189,22 @@ class Inputs:
             F.col("origin").alias("instance_id"), F.col("node").alias("name"), "km", "rank")
 
     @cached_property
-    def instance_closure(self) -> DataFrame:
-        """Shortest paths between members of one instance; no member is further than over the start."""
+    def instance_distances(self) -> DataFrame:
+        """Distances between members of one instance; no member is further than over the start."""
         far = self.instances.groupBy("instance_id").agg(F.max("km").alias("far"))
         sources = self.instances.join(far, "instance_id").select(
             F.col("name").alias("origin"), (F.col("km") + F.col("far")).alias("max_km"))
-        return shortest_paths(self.grid_cut, sources)
+        return shortest_paths(self.grid_cut, sources, chains=False)
 
     @cached_property
     def instance_costs(self) -> DataFrame:
-        return cut(tours.cost_pairs(self.instances.select("instance_id", "name"), self.instance_closure))
+        return cut(tours.cost_pairs(self.instances.select("instance_id", "name"), self.instance_distances))
+
+    def leg_ways(self, legs: DataFrame) -> DataFrame:
+        """Chains of stations for the legs of instance tours. Their lengths are known, so no search goes further."""
+        lengths = legs.join(
+            self.instance_costs.select("origin", F.col("node").alias("destination"), "km").distinct(), ["origin", "destination"])
+        return shortest_paths(self.grid_cut, lengths.select("origin", F.col("km").alias("max_km")))
 
     @cached_property
     def instance_tables(self) -> DataFrame:

@@ -87,11 +87,14 @@ def network_record(t):
 
 def instance_runs(t):
     """The whole compare workflow for the instance around every station: both tours, checks, prices, one payload each."""
-    closure = cut(t.instance_closure)
     lines = t.grid_cut.select("a", "b", "distance_km", "energy_loss_mw")
     nn = cut(tr.nn_tours(t.instance_tables, t.instance_starts))
     better = cut(tr.window_reoptimize(nn, window=4, sweeps=3))
 
+    walked = tr.tour_legs(nn.unionByName(better.select(nn.columns)).select(
+        F.col("start").alias("tour_id"), tr.stop_names().alias("stops")))
+    closure = t.leg_ways(walked.select("origin", "destination").distinct())
+
     def solved(tours, side):
         orders = tours.select(
             F.concat_ws("/", "start", F.lit(side)).alias("tour_id"), "start", tr.stop_names().alias("stops"), "total_km")

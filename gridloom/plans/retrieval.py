@@ -147,7 +147,7 @@ def postings(t):
 
 @query("corpus_stats", f"WITH {CHUNKS} SELECT corpus_id, chunks, round(avg_len, 6) AS avg_len FROM stats")
 def corpus_stats(t):
-    return rt.corpus_stats(chunks(t)).withColumn("avg_len", F.round("avg_len", 6))
+    return rt.corpus_stats(chunks(t), rt.postings(chunks(t))).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query("document_frequency", f"WITH {CHUNKS} SELECT * FROM dfs")

@@ -97,7 +97,7 @@ def segment_length(t):
     """Open length of the tour inside every instance."""
     orders = tr.nn_tours(t.instance_tables, t.instance_starts).select(
         F.col("instance_id").alias("tour_id"), tr.stop_names().alias("stops"))
-    return tr.tour_length(orders, t.instance_closure, closed=False)
+    return tr.tour_length(orders, t.instance_distances, closed=False)
 
 
 @query("tour_totals", """
