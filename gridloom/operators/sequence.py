@@ -17,12 +17,12 @@ def _slices(df: DataFrame, keys: list[str], slice_: str, **aggregates: Column) -
 
 def with_previous(df: DataFrame, keys: list[str], slice_: str, order: list[str], values: list[str]) -> DataFrame:
     """Add ``prev_<value>``: the values of the row before, within the key."""
-    ends = _slices(df, keys, slice_, last=F.max_by(F.struct(*values), F.struct(*order)))
-    carried = ends.withColumn("last", F.lag("last").over(Window.partitionBy(*keys).orderBy(slice_)))
+    ends = _slices(df, keys, slice_, _last=F.max_by(F.struct(*values), F.struct(*order)))
+    carried = ends.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy(slice_)))
     inner = Window.partitionBy(*keys, slice_).orderBy(*order)
     here = df.withColumn("_at", F.row_number().over(inner)).withColumn("_lag", F.lag(F.struct(*values)).over(inner))
     joined = here.join(carried, [*keys, slice_])
-    before = F.when(F.col("_at") == 1, F.col("last")).otherwise(F.col("_lag"))
+    before = F.when(F.col("_at") == 1, F.col("_last")).otherwise(F.col("_lag"))
     return joined.withColumn("_before", before).select(
         *df.columns, *[F.col(f"_before.{v}").alias(f"prev_{v}") for v in values])
 
@@ -30,12 +30,12 @@ def with_previous(df: DataFrame, keys: list[str], slice_: str, order: list[str],
 def with_position(df: DataFrame, keys: list[str], slice_: str, order: list[str], name: str = "step") -> DataFrame:
     """Add a one-based position within the key, and ``<name>_count``, the key's rows."""
     whole = Window.partitionBy(*keys)
-    counts = _slices(df, keys, slice_, n=F.count("*"))
-    offsets = counts.withColumn("skip", F.sum("n").over(whole.orderBy(slice_)) - F.col("n")).withColumn(
-        "all", F.sum("n").over(whole)).drop("n")
+    counts = _slices(df, keys, slice_, _n=F.count("*"))
+    offsets = counts.withColumn("_skip", F.sum("_n").over(whole.orderBy(slice_)) - F.col("_n")).withColumn(
+        "_all", F.sum("_n").over(whole)).drop("_n")
     inner = Window.partitionBy(*keys, slice_).orderBy(*order)
     return df.withColumn("_at", F.row_number().over(inner)).join(offsets, [*keys, slice_]).select(
-        *df.columns, (F.col("skip") + F.col("_at")).alias(name), F.col("all").alias(f"{name}_count"))
+        *df.columns, (F.col("_skip") + F.col("_at")).alias(name), F.col("_all").alias(f"{name}_count"))
 
 
 def with_running_sum(df: DataFrame, keys: list[str], slice_: str, order: list[str], value: str, name: str,
@@ -49,13 +49,13 @@ def with_running_sum(df: DataFrame, keys: list[str], slice_: str, order: list[st
         return F.coalesce(c, F.lit(0)).cast(as_type)
 
     whole = Window.partitionBy(*keys)
-    sums = _slices(df, keys, slice_, s=kept(F.sum(value)))
-    offsets = sums.withColumn("skip", kept(kept(F.sum("s").over(whole.orderBy(slice_))) - F.col("s"))).withColumn(
-        "all", kept(F.sum("s").over(whole))).drop("s")
+    sums = _slices(df, keys, slice_, _s=kept(F.sum(value)))
+    offsets = sums.withColumn("_skip", kept(kept(F.sum("_s").over(whole.orderBy(slice_))) - F.col("_s"))).withColumn(
+        "_all", kept(F.sum("_s").over(whole))).drop("_s")
     inner = Window.partitionBy(*keys, slice_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = df.withColumn("_in", kept(F.sum(value).over(inner)))
     return running.join(offsets, [*keys, slice_]).select(
-        *df.columns, kept(F.col("skip") + F.col("_in")).alias(name), F.col("all").alias(f"{name}_total"))
+        *df.columns, kept(F.col("_skip") + F.col("_in")).alias(name), F.col("_all").alias(f"{name}_total"))
 
 
 def collapse_repeats(df: DataFrame, keys: list[str], slice_: str, order: list[str], value: str) -> DataFrame:
