@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.paths import direct_line_flag
+from gridloom.session import cut
 
 METRES = 1000
 # A matrix of n stations has n * n cells in one row; 1,000 stations are 8 MB.
@@ -35,10 +36,15 @@ def cell(matrix: Column, i: Column, j: Column) -> Column:
 def cost_pairs(members: DataFrame, closure: DataFrame) -> DataFrame:
     """Distances between all members of each instance: (instance_id, origin, node, km).
 
-    Two members with no way between them keep a row with a NULL distance. An
-    instance has a bounded number of members, so this is that number squared.
+    Two members with no way between them keep a row with a NULL distance. The
+    number of members is checked first, so this is at most that number squared;
+    larger networks are toured by :func:`nn_tours_by_rounds`.
     """
-    i, j = members.alias("i"), members.alias("j")
+    sizes = members.groupBy("instance_id").agg(F.count("*").alias("n"))
+    fitting = members.join(sizes, "instance_id").select("instance_id", F.when(
+        F.col("n") <= MAX_STATIONS, F.col("name")).otherwise(
+        F.raise_error(F.lit(f"an instance holds at most {MAX_STATIONS} stations"))).alias("name"))
+    i, j = fitting.alias("i"), fitting.alias("j")
     pairs = i.join(j, F.col("i.instance_id") == F.col("j.instance_id")).select(
         F.col("i.instance_id").alias("instance_id"), F.col("i.name").alias("origin"), F.col("j.name").alias("node"))
     return pairs.join(closure.select("origin", "node", "km"), ["origin", "node"], "left").select(
@@ -53,8 +59,7 @@ def unreachable_pairs(costs: DataFrame) -> DataFrame:
 def matrices(costs: DataFrame) -> DataFrame:
     """One row per instance: its sorted names and their distance matrix in metres.
 
-    An instance beyond the size one row can hold, or with two stations that no
-    line joins, raises instead of losing stations.
+    An instance with two stations that no line joins raises instead of losing one.
     """
     sizes = costs.groupBy("instance_id", "origin").agg(
         F.array_sort(F.collect_list(F.struct("node", (F.col("km") * METRES).cast("bigint").alias("m")))).alias("row"))
@@ -62,12 +67,10 @@ def matrices(costs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("origin", F.transform("row", lambda x: x.m).alias("row")))).alias("t"))
     names = F.transform("t", lambda x: x.origin)
     rows = F.transform("t", lambda x: x.row)
-    fits = F.size("t") <= MAX_STATIONS
     whole = ~F.exists(rows, lambda r: F.exists(r, lambda m: m.isNull()))
     return table.select(
         "instance_id",
-        F.when(~fits, F.raise_error(F.lit(f"an instance holds at most {MAX_STATIONS} stations")))
-        .when(~whole, F.raise_error(F.lit("stations of one instance are not connected by any chain of lines")))
+        F.when(~whole, F.raise_error(F.lit("stations of one instance are not connected by any chain of lines")))
         .otherwise(names).alias("names"),
         rows.alias("matrix"))
 
@@ -112,6 +115,30 @@ def nn_tours(tables: DataFrame, starts: DataFrame) -> DataFrame:
         "total_km", to_km(closed_length(F.col("matrix"), F.col("stops"))))
 
 
+def nn_tours_by_rounds(closure: DataFrame, starts: DataFrame, pool: DataFrame) -> DataFrame:
+    """Nearest-neighbour tours of any size, one join per step: (tour_id, step, name, km).
+
+    The way for networks whose matrix does not fit a row. `starts` has (tour_id,
+    start), `pool` the stations of each tour as (tour_id, name). All tours take
+    their step together; `km` is the distance from the stop before.
+    """
+    ways = closure.select(F.col("origin").alias("here"), F.col("node").alias("name"), F.col("km").alias("way"))
+    visits = cut(starts.select(
+        "tour_id", F.lit(1).alias("step"), F.col("start").alias("name"), F.lit(0).cast("decimal(18,3)").alias("km")))
+    step = 1
+    while True:
+        here = visits.where(F.col("step") == step).select("tour_id", F.col("name").alias("here"))
+        options = (
+            here.join(ways, "here").join(pool, ["tour_id", "name"], "left_semi")
+            .join(visits.select("tour_id", "name"), ["tour_id", "name"], "left_anti"))
+        step += 1
+        picked = options.groupBy("tour_id").agg(F.min(F.struct("way", "name")).alias("p")).select(
+            "tour_id", F.lit(step).alias("step"), F.col("p.name").alias("name"), F.col("p.way").alias("km"))
+        visits = cut(visits.union(picked))
+        if visits.where(F.col("step") == step).isEmpty():
+            return visits
+
+
 def stop_names(names: str = "names", stops: str = "stops") -> Column:
     return F.transform(stops, lambda i: F.get(F.col(names), i))
 

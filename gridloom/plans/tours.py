@@ -27,6 +27,16 @@ def nn_on_instance(t):
     return named(tr.nn_tours(t.instance_tables, t.instance_starts))
 
 
+@query("nn_tours_by_rounds", "SELECT instance_id AS tour_id, array_to_string(stops, '>') AS stops FROM inst_tours")
+def nn_tours_by_rounds(t):
+    """The same tours, built one join per step as for networks of any size."""
+    closure = t.instance_costs.select("origin", "node", "km").distinct()
+    pool = t.instances.select(F.col("instance_id").alias("tour_id"), "name")
+    visits = tr.nn_tours_by_rounds(closure, pool.select("tour_id", F.col("tour_id").alias("start")).distinct(), pool)
+    return visits.groupBy("tour_id").agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("s")).select(
+        "tour_id", F.array_join(F.transform("s", lambda x: x["name"]), ">").alias("stops"))
+
+
 @query("exact_tours", "SELECT instance_id, array_to_string(stops, '>') AS stops, total_km FROM inst_exact")
 def exact_tours(t):
     return named(tr.exact_tours(t.instance_tables, t.instance_starts, 6))

@@ -131,6 +131,20 @@ def test_exact_tours_match_enumeration(spark):
         assert int(r["total_km"]) == best
 
 
+def test_tours_by_rounds_equal_the_folds(spark):
+    edges = random_edges(3, 7)
+    nodes, d = all_distances(edges)
+    origins = spark.createDataFrame([(n,) for n in nodes], "origin string")
+    closure = sp.shortest_paths(frame(spark, edges), origins, chains=False)
+    starts = origins.select(F.col("origin").alias("tour_id"), F.col("origin").alias("start"))
+    pool = starts.select("tour_id", F.explode(F.array(*[F.lit(n) for n in nodes])).alias("name"))
+    rounds = tr.nn_tours_by_rounds(closure, starts, pool).groupBy("tour_id").agg(
+        F.array_sort(F.collect_list(F.struct("step", "name"))).alias("s")).collect()
+    tables = tr.matrices(tr.cost_pairs(origins.select(F.lit("i").alias("instance_id"), F.col("origin").alias("name")), closure))
+    folds = tr.nn_tours(tables, starts.select(F.lit("i").alias("instance_id"), "start")).select("start", tr.stop_names().alias("s"))
+    assert {r["tour_id"]: [x["name"] for x in r["s"]] for r in rounds} == {r["start"]: r["s"] for r in folds.collect()}
+
+
 def test_limits_are_said(spark, lines):
     with pytest.raises(ValueError):
         tr.exact_tours(lines, lines, 9)
