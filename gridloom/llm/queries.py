@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import packing, quality_rules, token_counts
-from gridloom.llm.queries_sql import QUALITY
+from gridloom.llm import packing, quality_rules, secret_scan, token_counts
+from gridloom.llm.queries_sql import QUALITY, SECRETS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.shared import stored
 
     return token_counts.suffix_sums(stored(hist, "lengths"))
+
+
+@query(SECRETS)
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in secret_scan.RULES if r.base]))
+    counts = [_count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return spans.select(
+        F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def _count(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridloom.llm import secret_scan
 from gridloom.llm.quality_rules import RULES, STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -34,3 +35,27 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(_rule(r) for r in RULES)} AS kept
 FROM b"""
+
+
+def _secret_spans(rank: int, rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
+      'start': (coalesce(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0))::BIGINT,
+      'rank': {rank}, 'kind': '{rule.kind}', 'size': length(regexp_extract_all(t, '{pattern}')[i]),
+      'checked': length(regexp_extract_all(t, '{pattern}', {rule.group})[i])}}), lambda s: s.checked >= {rule.least})"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, list_sort(list_concat({", ".join(_secret_spans(k, r) for k, r in enumerate(secret_scan.RULES))})) AS s
+  FROM d),
+shown AS (
+  SELECT doc_id, s, list_transform(s, lambda x: x.kind || ':' || x.start || ':' || (x.start + x.size)) AS spans,
+    list_transform(list_filter(s, lambda x: x.kind IN ('assign', 'access', 'hex')), lambda x: x.kind || ':' || x.start || ':' || (x.start + x.size)) AS base
+  FROM found)
+SELECT doc_id, len(list_filter(s, lambda x: x.kind = 'assign'))::BIGINT AS n_assign,
+  len(list_filter(s, lambda x: x.kind = 'access'))::BIGINT AS n_access, len(list_filter(s, lambda x: x.kind = 'hex'))::BIGINT AS n_hex,
+  sha256(array_to_string(base, ',')) AS base_sha256, array_to_string(spans, ',') AS spans
+FROM shown"""
