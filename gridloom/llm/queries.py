@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import packing, quality_rules, secret_scan, token_counts
+from gridloom.llm import language_id, packing, quality_rules, secret_scan, token_counts, toxicity
 from gridloom.llm.queries_sql import QUALITY, SECRETS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,19 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _count(kind: str):
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(language_id.sample(docs))
+    return language_id.identified(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"), language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(toxicity.sample(docs, labels))
+    return toxicity.scored(docs, model).select(
+        F.col("row.doc_id").alias("doc_id"), toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
