@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: White space between words: the space and U+0009 to U+000D.
 GAPS = "[\\x20\\x09-\\x0D]+"
+WORD_CHARACTER = "[^\\x20\\x09-\\x0D]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -64,16 +65,16 @@ def measured(df: DataFrame, text: str = "text", stop_words=tuple(STOP_WORDS)) ->
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), whole.alias("t"))
     split = base.select(
         "row", "t", F.array_remove(F.split("t", GAPS), "").alias("w"),
-        F.filter(F.split("t", "\n", -1), lambda x: F.length(F.regexp_replace(x, GAPS, "")) > 0).alias("lines"))
+        F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD_CHARACTER)).alias("lines"))
     last = F.size("w") - F.lit(WINDOW - 1)
     hashes = F.when(last > 0, F.array_sort(F.transform(
         F.sequence(F.lit(1), last),
         lambda at: F.struct(F.xxhash64(F.slice("w", at, WINDOW)).alias("k"), at.alias("at")))))
     counted = split.select(
         "row", F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.length("t") - F.length(F.regexp_replace("t", "[A-ZÀ-ÖØ-Þ]", ""))).cast("long").alias("n_capitals"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit("[A-ZÀ-ÖØ-Þ]")).cast("long").alias("n_capitals"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(*stop_words))).cast("long").alias("n_stop_words"),
