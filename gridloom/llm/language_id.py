@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.shared import whole_row
+
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -190,9 +192,9 @@ def sample(df: DataFrame, doc_id: str = "doc_id", text: str = "text", language:
     return sorted((r["t"], r["l"]) for r in chosen)
 
 
-def identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of `df`, their columns in the struct `row`, with lang_pred and score."""
-    source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
+def identified(df: DataFrame, model: Model, text: str = "text", keep=None) -> DataFrame:
+    """The rows of `df`, their columns (or those in `keep`) in the struct `row`, with lang_pred and score."""
+    source = df.select(whole_row(df, keep).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, packing, quality_rules, secret_scan, token_counts, toxicity
+from gridloom.llm import language_id, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
 from gridloom.llm.queries_sql import QUALITY, SECRETS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +68,7 @@ def _count(kind: str):
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(language_id.sample(docs))
-    return language_id.identified(docs.select("doc_id", "text"), model).select(
+    return language_id.identified(docs, model, keep=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -76,5 +76,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.train(toxicity.sample(docs, labels))
-    return toxicity.scored(docs, model).select(
+    return toxicity.scored(docs, model, keep=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.coded(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return coded.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -25,6 +25,6 @@ def fresh(prefix: str, taken) -> str:
     return name
 
 
-def whole_row(df: DataFrame) -> Column:
-    """All columns of `df` as one struct, out of the way of new names."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+def whole_row(df: DataFrame, keep=None) -> Column:
+    """All columns of `df`, or those in `keep`, as one struct, out of the way of new names."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep or df.columns])

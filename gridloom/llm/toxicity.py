@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.language_id import held_out
+from gridloom.llm.shared import whole_row
 
 #: Labelled texts that training may look at, at most, of the toxic and of the other class.
 SAMPLE_PER_CLASS = 3000
@@ -145,7 +146,7 @@ def posterior(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.nda
     return chance
 
 
-def classifier(votes: np.ndarray, chance: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> tuple[np.ndarray, float]:
+def classifier(votes: np.ndarray, chance: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression of posteriors on votes, by Newton steps with a ridge."""
     x = np.column_stack([votes, np.ones(len(votes))])
     w, cost = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -188,9 +189,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     return sorted((r["text"], r["toxic"]) for r in chosen)
 
 
-def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of `df`, their columns in the struct `row`, with score and predicted."""
-    source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
+def scored(df: DataFrame, model: Model, text: str = "text", keep=None) -> DataFrame:
+    """The rows of `df`, their columns (or those in `keep`) in the struct `row`, with score and predicted."""
+    source = df.select(whole_row(df, keep).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters, weights = Voters(model.terms), model.weights.tolist()
