@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
+from gridloom.llm import language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
 from gridloom.llm.queries_sql import QUALITY, SECRETS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_codec.coded(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return coded.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query()
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = minhash_dedup.Settings(words=3, percent=85)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), settings=settings)
