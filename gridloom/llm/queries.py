@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
+from gridloom.llm import chat_format, embedding_dedup, language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
 from gridloom.llm.queries_sql import QUALITY, SECRETS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash_dedup.Settings(words=3, percent=85)
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), settings=settings)
+
+
+@query()
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repaired(table(spark, sf_dir, "conversations"))
