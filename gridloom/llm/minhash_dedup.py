@@ -98,7 +98,7 @@ def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     element, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
     order: np.ndarray | None = None
     for step in range(slots):
-        draw = mixed(element + np.uint64(step + 1) * _GOLDEN)
+        draw = mixed(element + np.uint64((step + 1) * int(_GOLDEN) % (1 << 64)))
         to = step + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(slots - step) >> np.uint64(32)).astype(np.int64)
         slot = to
         if order is not None:  # the step swaps place `step` with place `to` of the element's permutation

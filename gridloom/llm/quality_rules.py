@@ -115,5 +115,10 @@ def judged(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of `df` whose text passes, with their own columns."""
-    return judged(df, text, rules).where("kept").select("row.*")
+    """The rows of `df` whose text passes, with their own columns.
+
+    A plain filter would be pushed below the projections and repeat their array
+    work in every reference; unfolding an array of one row or none is not.
+    """
+    one_or_none = judged(df, text, rules).select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return one_or_none.where("row IS NOT NULL").select("row.*")
