@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.skew import join_hot
+
 from gridloom.operators.stations import pair_key
 
 
@@ -33,7 +35,7 @@ def edge_lookup(pairs: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame
     """Attach the line between two stations, whichever way round they are named."""
     keyed = pairs.withColumn("_a", F.least(a, b)).withColumn("_b", F.greatest(a, b))
     line = edges.withColumnRenamed("a", "_a").withColumnRenamed("b", "_b")
-    return keyed.join(line, ["_a", "_b"], "left").drop("_a", "_b")
+    return join_hot(keyed, line, ["_a", "_b"], "left").drop("_a", "_b")
 
 
 def isolated_stations(stations: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.skew import join_hot
 from gridloom.functions import money
 
 # The reasons and notes users already know.
@@ -46,7 +47,7 @@ def route_to_lines(legs: DataFrame, edges: DataFrame) -> DataFrame:
     """Each hop with the line it runs over, NULL where there is none."""
     lines = edges.withColumn("matched", F.lit(True))
     hops = _keyed(leg_hops(legs))
-    return hops.join(lines, ["a", "b"], "left").withColumn(
+    return join_hot(hops, lines, ["a", "b"], "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False)) & F.col("has_path"))
 
 
@@ -54,7 +55,7 @@ def unmatched_steps(legs: DataFrame, edges: DataFrame) -> DataFrame:
     """Hops that run over no line, and legs that record no path, each with its reason."""
     hops = _keyed(leg_hops(legs))
     bare = hops.where(~F.col("has_path")).withColumn("reason", F.lit(NO_PATH))
-    lost = hops.where("has_path").join(edges.select("a", "b"), ["a", "b"], "left_anti").withColumn(
+    lost = join_hot(hops.where("has_path"), edges.select("a", "b"), ["a", "b"], "left_anti").withColumn(
         "reason", F.lit(NO_LINE))
     return bare.unionByName(lost).select("route_id", "step", "hop", "origin", "destination", "reason")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import cut
+
 
 def by_column(column: str, descending: bool = False) -> Column:
     """An order on one column with missing values last, either way."""
@@ -22,6 +24,22 @@ def sorted_page(df: DataFrame, column: str, tie: str, descending: bool, size: in
     return page.withColumn("place", F.row_number().over(place).cast("bigint"))
 
 
+def sorted_whole(df: DataFrame, column: str, tie: str, descending: bool = False) -> DataFrame:
+    """The whole table with each row's place in the order, however large it is.
+
+    Rows are dealt into ranges and sorted there; a row's place is its place within
+    its range plus the rows of the ranges before it, one number per range.
+    """
+    order = [by_column(column, descending), F.asc(tie)]
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")))
+    first = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(F.count("*").alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("_before"))
+    within = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(before, "_range").withColumn("place", within + F.col("_before")).drop("_range", "_at", "_before")
+
+
 def preview(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
     """Per group: how many distinct values there are and the first `n` of them in order.
 

@@ -122,34 +122,18 @@ def _rare_first(terms: DataFrame, posted: DataFrame) -> DataFrame:
     return found.select("qid", "corpus_id", "id", "needed", "score", "matched").unionByName(looked_up)
 
 
-def _prefer_rare_first(terms: DataFrame) -> bool:
-    """Compare the rows the two ways would join; the list lengths are known exactly."""
-    rare = F.col("place") <= F.col("n_terms") - F.col("needed") + 1
-    per_question = terms.groupBy("qid", "corpus_id").agg(
-        F.sum("df").alias("all"), F.sum(F.when(rare, F.col("df")).otherwise(0)).alias("rare"),
-        F.count_if(~rare & (F.col("df") > 0)).alias("common"))
-    volume = per_question.agg(
-        F.sum("all").alias("direct"), F.sum(F.col("rare") * (F.col("common") + 1)).alias("rare_first")).first()
-    return volume["direct"] is not None and volume["rare_first"] * 2 < volume["direct"]
-
-
-def bm25(questions: DataFrame, chunks: DataFrame, posted: DataFrame | None = None,
-         rare_first: bool | None = None) -> DataFrame:
+def bm25(questions: DataFrame, chunks: DataFrame, posted: DataFrame | None = None) -> DataFrame:
     """Scores of all chunks that match enough of a question: (qid, corpus_id, id, score, matched).
 
     `questions` has (qid, corpus_id, question); each corpus is scored by its own
     counts. A chunk must match `needed` of a question's n terms, so it matches at
-    least one of any n - needed + 1 of them. Where common terms have very long
-    lists, the rarest n - needed + 1 terms alone find the candidates and the
-    common ones are only looked up for those. Both ways give the same scores; the
-    one that joins fewer rows is taken, going by the exact list lengths.
+    least one of any n - needed + 1 of them. Common terms have very long
+    lists, so the rarest n - needed + 1 terms alone find the candidates and the
+    common ones are only looked up for those, whatever the size of the corpus.
     """
     posted = cut(postings(chunks)) if posted is None else posted
     terms = cut(_weighted(question_terms(questions), document_frequency(posted), corpus_stats(chunks, posted)))
-    if rare_first is None:
-        rare_first = _prefer_rare_first(terms)
-    parts = _rare_first(terms, posted) if rare_first else _direct(terms, posted)
-    return parts.groupBy("qid", "corpus_id", "id", "needed").agg(
+    return _rare_first(terms, posted).groupBy("qid", "corpus_id", "id", "needed").agg(
         F.sum("score").alias("score"), F.sum("matched").alias("matched")
     ).where("matched >= needed AND score > 0")
 
@@ -162,16 +146,16 @@ def top_k_per_query(scores: DataFrame, k: int) -> DataFrame:
 
 
 def best_of_union(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two result lists as one, each id with its higher score."""
-    return first.unionByName(second).groupBy("qid", "id", "kind").agg(
-        F.max_by(F.struct("score", "place"), "score").alias("best")).select("qid", "id", "kind", "best.*")
+    """Two result lists as one, each chunk with its higher score. Ids repeat between corpora, so both name a chunk."""
+    return first.unionByName(second).groupBy("qid", "corpus_id", "id", "kind").agg(
+        F.max_by(F.struct("score", "place"), "score").alias("best")).select("qid", "corpus_id", "id", "kind", "best.*")
 
 
 def reserved_slots(hits: DataFrame, top_k: int = TOP_K, reserved: int = RESERVED) -> DataFrame:
     """Places kept for the caller's own run, the rest by score: adds `rank`."""
     slots = min(reserved, max(1, top_k // 2))
     own = F.col("kind") == "solver"
-    order = [F.desc("score"), F.when(own, 0).otherwise(1), F.col("place"), F.col("id")]
+    order = [F.desc("score"), F.when(own, 0).otherwise(1), F.col("place"), F.col("id"), F.col("corpus_id")]
     within = Window.partitionBy("qid", own).orderBy(*order)
     kept_own = F.count_if(own & (F.col("at") <= slots)).over(Window.partitionBy("qid"))
     picked = hits.withColumn("at", F.row_number().over(within)).withColumn("own", kept_own).where(
@@ -186,8 +170,8 @@ def composite_search(questions: DataFrame, chunks: DataFrame, top_k: int = TOP_K
     slots = min(reserved, max(1, top_k // 2))
     top = cut(top_k_per_query(bm25(questions, chunks), top_k)).join(
         chunks.select("corpus_id", "id", "kind"), ["corpus_id", "id"])
-    from_index = top.where(F.col("corpus_id") == index).drop("corpus_id")
-    from_run = top.where((F.col("corpus_id") != index) & (F.col("place") <= slots)).drop("corpus_id")
+    from_index = top.where(F.col("corpus_id") == index)
+    from_run = top.where((F.col("corpus_id") != index) & (F.col("place") <= slots))
     return reserved_slots(best_of_union(from_index, from_run), top_k, reserved)
 
 
@@ -205,14 +189,14 @@ def _label() -> Column:
 
 def budget_cut(hits: DataFrame, chunks: DataFrame, budget: int = CONTEXT_BUDGET,
                preamble: str = DATASET_PREAMBLE) -> DataFrame:
-    """The pieces of each question's context that fit: (qid, position, id, kind, ..., piece, spent).
+    """The pieces of each question's context that fit: (qid, position, corpus_id, id, kind, ..., piece, spent).
 
-    Reserved run chunks come first, then the rest by rank. The first piece is
+    A hit's text is that of its own corpus: every run uses the same ids. Reserved run chunks come first, then the rest by rank. The first piece is
     always kept; from the first that does not fit on, nothing is.
     """
     own = F.col("kind") == "solver"
     eligible = score_floor(hits).join(
-        chunks.select("id", "title", "locator", "text"), "id")
+        chunks.select("corpus_id", "id", "title", "locator", "text"), ["corpus_id", "id"])
     held = F.row_number().over(Window.partitionBy("qid", own).orderBy("rank"))
     first = (own & (F.col("held") <= RESERVED_RUN_CHUNKS))
     order = Window.partitionBy("qid").orderBy(F.when(F.col("first"), 0).otherwise(1), "rank")
@@ -230,7 +214,7 @@ def budget_cut(hits: DataFrame, chunks: DataFrame, budget: int = CONTEXT_BUDGET,
     return (
         placed.withColumn("piece", piece).withColumn("spent", running + opening)
         .where((F.col("position") == 1) | (F.col("spent") <= budget))
-        .select("qid", "position", "id", "kind", "title", "locator", "score", "told", "piece", "spent"))
+        .select("qid", "position", "corpus_id", "id", "kind", "title", "locator", "score", "told", "piece", "spent"))
 
 
 def context_block(pieces: DataFrame, preamble: str = DATASET_PREAMBLE) -> DataFrame:
@@ -244,7 +228,7 @@ def context_block(pieces: DataFrame, preamble: str = DATASET_PREAMBLE) -> DataFr
 
 def answer_sources(pieces: DataFrame) -> DataFrame:
     """Exactly what was kept, per question, and whether a run was among it."""
-    rows = F.array_sort(F.collect_list(F.struct("position", "id", "kind", "title", "locator", "score")))
+    rows = F.array_sort(F.collect_list(F.struct("position", "corpus_id", "id", "kind", "title", "locator", "score")))
     return pieces.groupBy("qid").agg(
         rows.alias("sources"), F.count("*").alias("retrieved"),
         F.bool_or(F.col("kind") == "solver").alias("used_run"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.skew import join_hot
 from gridloom.functions.text import clean_name, safe_float
 
 COORDINATE_TOLERANCE = 1e-4  # fixed value: readings further apart than this conflict
@@ -75,7 +76,7 @@ def coordinate_conflicts(lines: DataFrame, stations: DataFrame) -> DataFrame:
     """Full readings further than the tolerance from the one that was kept."""
     limit = F.lit(str(COORDINATE_TOLERANCE)).cast("decimal(9,4)")
     readings = endpoints(lines).where("lat IS NOT NULL AND lon IS NOT NULL")
-    return readings.join(stations.select("name", "latitude", "longitude"), "name").where(
+    return join_hot(readings, stations.select("name", "latitude", "longitude"), ["name"]).where(
         (F.abs(F.col("lat") - F.col("latitude")) > limit) | (F.abs(F.col("lon") - F.col("longitude")) > limit)
     ).select("row_number", "side", "name", "lat", "lon", "latitude", "longitude")
 
@@ -92,10 +93,8 @@ def first_rows(lines: DataFrame) -> DataFrame:
 def duplicate_pairs(lines: DataFrame) -> DataFrame:
     """Second and later rows of an unordered pair, with the row it was first seen on."""
     firsts = first_rows(without_self_loops(lines))
-    return (
-        without_self_loops(lines).select("row_number", *pair_key()).join(firsts, ["a", "b"])
-        .where(F.col("row_number") > F.col("first_row"))
-    )
+    rows = without_self_loops(lines).select("row_number", *pair_key())
+    return join_hot(rows, firsts, ["a", "b"]).where(F.col("row_number") > F.col("first_row"))
 
 
 def load_warnings(lines: DataFrame, absent_columns: list[str] = ()) -> DataFrame:

@@ -149,23 +149,29 @@ def _orders(size: int) -> Column:
     return F.from_json(F.lit(json.dumps(table)), "array<array<int>>")
 
 
-def exact_tours(tables: DataFrame, starts: DataFrame, size: int) -> DataFrame:
-    """The shortest closed tour by trying every order; instances of exactly `size` stations.
+def exact_tours(tables: DataFrame, starts: DataFrame, largest: int = MAX_EXACT) -> DataFrame:
+    """The shortest closed tour by trying every order, for instances of any sizes up to `largest`.
 
-    The number of orders is a factorial, so the size is limited to eight.
+    The number of orders is a factorial, so `largest` is at most eight; an instance
+    beyond it, or of a single station, raises instead of getting lost.
     """
-    if not 2 <= size <= MAX_EXACT:
+    if not 2 <= largest <= MAX_EXACT:
         raise ValueError(f"exact tours need 2 to {MAX_EXACT} stations")
-    m = F.col("matrix")
+    m, size = F.col("matrix"), F.size("names")
     at = (F.array_position("names", F.col("start")) - 1).cast("int")
-    found = starts.join(tables.where(F.size("names") == size), "instance_id").withColumn(
-        "rest", F.array_remove(F.sequence(F.lit(0), F.lit(size - 1)), at)).withColumn("_at", at)
+    found = starts.join(tables, "instance_id").withColumn(
+        "rest", F.array_remove(F.sequence(F.lit(0), size - 1), at)).withColumn("_at", at)
 
-    def length(p: Column) -> Column:
-        walk = [F.col("_at"), *[F.get("rest", F.get(p, F.lit(k))) for k in range(size - 1)], F.col("_at")]
+    def length(p: Column, n: int) -> Column:
+        walk = [F.col("_at"), *[F.get("rest", F.get(p, F.lit(k))) for k in range(n - 1)], F.col("_at")]
         return sum((cell(m, a, b) for a, b in zip(walk[1:], walk[2:])), cell(m, walk[0], walk[1]))
 
-    best = F.array_min(F.transform(_orders(size - 1), lambda p: F.struct(length(p).alias("m"), p.alias("p"))))
+    def shortest(n: int) -> Column:
+        return F.array_min(F.transform(_orders(n - 1), lambda p: F.struct(length(p, n).alias("m"), p.alias("p"))))
+
+    best = F.raise_error(F.lit(f"an exact tour needs 2 to {largest} stations")).cast("struct<m:bigint,p:array<int>>")
+    for n in range(2, largest + 1):
+        best = F.when(size == n, shortest(n)).otherwise(best)
     return found.withColumn("_best", best).select(
         "instance_id", "start", "names", "matrix",
         F.concat(F.array("_at"), F.transform("_best.p", lambda k: F.get(F.col("rest"), k))).alias("stops"),
@@ -202,16 +208,22 @@ def _check_window(window: int) -> None:
         raise ValueError(f"a window holds 2 to {MAX_WINDOW} free stations")
 
 
+def _fitting(window: int) -> Column:
+    """The number of stations, if a window and its two ends fit among them; a tour visits all its names."""
+    return F.when(F.size("names") >= window + 2, F.size("names")).otherwise(
+        F.raise_error(F.lit(f"a window of {window} and its two fixed ends does not fit in the tour")))
+
+
 def circular_windows(tours: DataFrame, window: int) -> DataFrame:
-    """Every window of every tour: entry, free stations and exit at each offset."""
+    """Every window of every tour: entry, free stations and exit at each offset. A tour too short for the window raises."""
     stops = F.col("stops")
-    seats = F.transform(F.sequence(F.lit(0), F.size(stops) - 1), lambda o: F.struct(
+    seats = F.transform(F.sequence(F.lit(0), _fitting(window) - 1), lambda o: F.struct(
         o.alias("offset"), _window(stops, o, window).alias("seats")))
-    return tours.where(F.size("names") >= window + 2).select("instance_id", "start", "names", F.inline_outer(seats))
+    return tours.select("instance_id", "start", "names", F.inline_outer(seats))
 
 
 def window_scores(tours: DataFrame, window: int) -> DataFrame:
-    """For every tour and offset: the length now, the best length, and the order that gives it."""
+    """For every tour and offset: the length now, the best length, and the order that gives it. A tour too short raises."""
     _check_window(window)
     stops, m, orders = F.col("stops"), F.col("matrix"), _orders(window)
 
@@ -221,10 +233,9 @@ def window_scores(tours: DataFrame, window: int) -> DataFrame:
                 offset.alias("offset"), _current(m, seats, window).alias("now"), best.m.alias("best"),
                 F.transform(best.p, lambda k: F.get(F.col("names"), F.get(seats, k + 1))).alias("ordering"))))
 
-    scored = F.transform(F.sequence(F.lit(0), F.size(stops) - 1), score)
-    # A tour visits all names, so their number decides; asking for the stops here, or for
-    # a non-empty list below, would make Spark compute the folds twice.
-    return tours.where(F.size("names") >= window + 2).select("instance_id", "start", F.inline_outer(scored)).select(
+    scored = F.transform(F.sequence(F.lit(0), _fitting(window) - 1), score)
+    # The outer unfolding keeps Spark from asking for a non-empty list first, which would compute the folds twice.
+    return tours.select("instance_id", "start", F.inline_outer(scored)).select(
         "instance_id", "start", "offset", to_km(F.col("now")).alias("current_km"), to_km(F.col("best")).alias("best_km"),
         "ordering")
 

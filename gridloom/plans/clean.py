@@ -117,9 +117,8 @@ def loss_cost(t):
 
 @query("sort_nulls_last", """
 SELECT row_number, energy_loss_mw, row_number() OVER (ORDER BY energy_loss_mw DESC NULLS LAST, row_number) AS place
-FROM survey_clean ORDER BY place LIMIT 500""")
+FROM survey_clean""")
 def sort_nulls_last(t):
-    """The first page of the lines table, most loss first, missing readings at the end."""
-    from gridloom.operators.ranking import sorted_page
-    return sorted_page(t.survey_clean.select("row_number", "energy_loss_mw"), "energy_loss_mw", "row_number",
-                       descending=True, size=500)
+    """The whole lines table, most loss first, missing readings at the end."""
+    from gridloom.operators.ranking import sorted_whole
+    return sorted_whole(t.survey_clean.select("row_number", "energy_loss_mw"), "energy_loss_mw", "row_number", descending=True)

@@ -153,12 +153,18 @@ class Inputs:
 
     @cached_property
     def event_lines(self) -> DataFrame:
-        """Lines between event types: every unordered pair but one, one without a loss reading."""
+        """Lines between event types: every unordered pair but one, one without a loss reading.
+
+        The types, one aggregated row each, are paired inside one array; the table of
+        types is a dimension and does not grow with the events.
+        """
         kinds = self.events.groupBy("event_type").agg(
             F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
-        l, r = kinds.alias("l"), kinds.alias("r")
+        listed = kinds.agg(F.array_sort(F.collect_list(F.struct("event_type", "n", "v"))).alias("k"))
+        pairs = F.flatten(F.transform("k", lambda l, i: F.transform(
+            F.slice("k", i + 2, F.size("k")), lambda r: F.struct(l.alias("l"), r.alias("r")))))
         return (
-            l.join(r, F.col("l.event_type") < F.col("r.event_type"))
+            listed.select(F.inline_outer(pairs))
             .where("NOT (l.event_type = 'error' AND r.event_type = 'signup')")
             .selectExpr(
                 "l.event_type AS a", "r.event_type AS b",

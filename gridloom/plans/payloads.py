@@ -134,7 +134,7 @@ def instance_runs(t):
             F.col("nn_tour.valid").alias("nn_valid"), F.col("hybrid_km").alias("hybrid_distance_km"),
             F.col("qa_tour.valid").alias("hybrid_valid"), "improvement_km", "improvement_percent", "winner").alias("comparison"),
         F.struct(
-            F.struct(tariff.rate.alias("inr_per_kwh"), F.lit(tariff.category).alias("category"),
+            F.struct(money.rate(tariff).alias("inr_per_kwh"), F.lit(tariff.category).alias("category"),
                      F.lit(tariff.component).alias("component"), F.lit(tariff.authority).alias("authority")).alias("tariff"),
             F.col("nn_route").alias("classical"), F.col("qa_route").alias("hybrid"),
             F.col("improvement_km").alias("distance_difference_km"),

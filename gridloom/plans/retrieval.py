@@ -162,11 +162,10 @@ def bm25(t):
 
 
 @query("coverage_gate", f"""WITH {SCORES}
-SELECT corpus_id = 'index' AS on_index, needed, count(*) AS hits, CAST(sum(matched) AS BIGINT) AS matched FROM scores GROUP BY 1, 2""")
+SELECT qid, corpus_id, id, needed, matched FROM scores""")
 def coverage_gate(t):
-    """How many chunks pass the gate, by the number of terms it asks for."""
-    return rt.bm25(asked(t), chunks(t)).groupBy((F.col("corpus_id") == "index").alias("on_index"), "needed").agg(
-        F.count("*").alias("hits"), F.sum("matched").alias("matched"))
+    """The chunks that match as many terms of a question as the gate asks for."""
+    return rt.bm25(asked(t), chunks(t)).select("qid", "corpus_id", "id", "needed", "matched")
 
 
 @query("query_postings_join", f"""WITH {SCORES}
@@ -185,27 +184,24 @@ def top_k_per_query(t):
 
 
 @query("best_of_union", f"""WITH {SCORES}
-SELECT qid, id, max(score) AS score FROM (
-  SELECT qid, id, round(score, 4) AS score FROM tops WHERE corpus_id = 'index' AND place <= 6
-  UNION ALL SELECT qid, id, round(score, 4) + 1 FROM tops WHERE corpus_id = 'index' AND place <= 3) GROUP BY 1, 2""")
+SELECT qid, corpus_id, id, max(score) AS score FROM (
+  SELECT qid, corpus_id, id, round(score, 4) AS score FROM tops WHERE place <= 6
+  UNION ALL SELECT qid, corpus_id, id, round(score, 4) + 1 FROM tops WHERE place <= 3) GROUP BY 1, 2, 3""")
 def best_of_union(t):
     """Two lists that overlap: the second repeats the best three with a higher score."""
-    top = rt.top_k_per_query(rt.bm25(asked(t).where("corpus_id = 'index'"), chunks(t)), 6).withColumn(
-        "kind", F.lit("doc")).drop("corpus_id")
+    top = rt.top_k_per_query(rt.bm25(asked(t), chunks(t)), 6).withColumn("kind", F.lit("doc"))
     return rt.best_of_union(top, top.where("place <= 3").withColumn("score", F.col("score") + 1)).select(
-        "qid", "id", "score")
+        "qid", "corpus_id", "id", "score")
 
 
-@query("reserved_slots", f"""WITH {SCORES}
-SELECT qid, count(*) FILTER (kind = 'solver') AS own, count(*) AS kept FROM found GROUP BY 1""")
+@query("reserved_slots", f"WITH {SCORES} SELECT qid, id, kind, CAST(rank AS INTEGER) AS rank FROM found")
 def reserved_slots(t):
-    return rt.composite_search(asked(t), chunks(t)).groupBy("qid").agg(
-        F.count_if(F.col("kind") == "solver").alias("own"), F.count("*").alias("kept"))
+    return rt.composite_search(asked(t), chunks(t)).select("qid", "id", "kind", "rank")
 
 
 @query("composite_search", f"WITH {SCORES} SELECT qid, id, kind, score, rank FROM found")
 def composite_search(t):
-    return rt.composite_search(asked(t), chunks(t))
+    return rt.composite_search(asked(t), chunks(t)).drop("corpus_id")
 
 
 @query("score_floor", f"""WITH {SCORES}

@@ -12,14 +12,19 @@ from gridloom.plans.registry import query
 @query("tariff_facts", """
 SELECT row_number, CAST(6.60 AS DECIMAL(9,2)) AS rate, 660 AS paise,
        'HT-2(a) - Industries including MSME energy charge, Rs. 6.60/kWh' AS label, 7 AS excluded,
+       '2025-03-27' AS order_date, 'Energy Charges (per kWh) only' AS component,
+       'Karnataka Electricity Regulatory Commission (KERC)' AS authority,
+       'FY2025-26 and FY2026-27 (650 paise/kWh from FY2027-28)' AS effective_period,
+       'Annexure-9, "TARIFF SCHEDULE HT-2(a)", order page 550' AS source_location,
        CAST(energy_loss_mw * 1000 AS DECIMAL(28,4)) AS kwh_per_hour
 FROM survey""")
 def tariff_facts(t):
     """The rate beside every loss it prices."""
-    tariff = money.DEFAULT_TARIFF
+    facts = money.tariff_columns()
+    told = ("order_date", "component", "authority", "effective_period", "source_location")
     return t.survey.select(
-        "row_number", tariff.rate.alias("rate"), F.lit(tariff.paise_per_kwh).alias("paise"),
-        F.lit(tariff.label).alias("label"), F.lit(len(tariff.excludes)).alias("excluded"),
+        "row_number", facts["inr_per_kwh"].alias("rate"), facts["paise"].alias("paise"), facts["label"].alias("label"),
+        F.size(facts["excludes"]).alias("excluded"), *[facts[c].alias(c) for c in told],
         money.kwh_per_hour(F.col("energy_loss_mw")).alias("kwh_per_hour"))
 
 

@@ -39,7 +39,7 @@ def nn_tours_by_rounds(t):
 
 @query("exact_tours", "SELECT instance_id, array_to_string(stops, '>') AS stops, total_km FROM inst_exact")
 def exact_tours(t):
-    return named(tr.exact_tours(t.instance_tables, t.instance_starts, 6))
+    return named(tr.exact_tours(t.instance_tables, t.instance_starts))
 
 
 @query("cost_matrix", "SELECT instance_id, origin, node, km FROM inst_costs")
@@ -221,7 +221,7 @@ def window_reoptimize_instances(t):
 def both_tours(t):
     """The nearest-neighbour tour and the exact one of every instance, side by side."""
     nn = tr.nn_tours(t.instance_tables, t.instance_starts).select("instance_id", F.col("total_km").alias("nn_km"))
-    best = tr.exact_tours(t.instance_tables, t.instance_starts, 6).select(
+    best = tr.exact_tours(t.instance_tables, t.instance_starts).select(
         "instance_id", F.col("total_km").alias("hybrid_km"))
     return nn.join(best, "instance_id")
 
@@ -275,4 +275,4 @@ def set_equality(t):
 
     return cp.set_equality(
         stops(tr.nn_tours(t.instance_tables, t.instance_starts)),
-        stops(tr.exact_tours(t.instance_tables, t.instance_starts, 6)), ["instance_id"], "name")
+        stops(tr.exact_tours(t.instance_tables, t.instance_starts)), ["instance_id"], "name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ def single_file_source(spark: SparkSession, folder: str) -> str:
     """The one ``*.csv`` in a folder; none or several raise. Only the listing is read."""
     try:
         found = sorted(spark.read.option("pathGlobFilter", "*.csv").text(folder).inputFiles())
-    except Exception as exc:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise DatasetError(f"no .csv file found in {folder!r}") from exc
     if not found:
         raise DatasetError(f"no .csv file found in {folder!r}")

@@ -40,13 +40,16 @@ def fresh_cell(loss: str, i: int, tariff: money.Tariff) -> Column:
 
 
 def keyed_upsert(existing: DataFrame, incoming: DataFrame, keys: list[str | Column]) -> DataFrame:
-    """Incoming rows, and the existing rows whose key is not among them.
+    """Incoming rows, one for each key, and the existing rows whose key is not among them.
 
-    Keys may be expressions, such as the two ends of a line put in order.
+    Keys may be expressions, such as the two ends of a line put in order. Of
+    several incoming rows with one key the largest stays, by the values of its
+    columns from left to right.
     """
     def keyed(df: DataFrame) -> DataFrame:
         return df.select("*", *[(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)])
 
     names = [f"_k{i}" for i in range(len(keys))]
-    kept = keyed(existing).join(keyed(incoming).select(*names).distinct(), names, "left_anti")
-    return incoming.unionByName(kept.drop(*names))
+    unique = keyed(incoming).groupBy(*names).agg(F.max(F.struct(*incoming.columns)).alias("row"))
+    kept = keyed(existing).join(unique.select(*names), names, "left_anti")
+    return unique.select("row.*").unionByName(kept.drop(*names))
