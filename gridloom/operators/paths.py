@@ -98,3 +98,9 @@ def direct_line_flag(pairs: DataFrame, edges: DataFrame, a: str = "origin", b: s
     return (
         pairs.join(lines, (F.col(a) == F.col("_s")) & (F.col(b) == F.col("_d")), "left")
         .withColumn("is_direct", F.coalesce("_line", F.lit(False))).drop("_s", "_d", "_line"))
+
+
+def instances_checked(near: DataFrame, size: int) -> DataFrame:
+    """(instance_id, stations, status) of every origin of `nearest_stations`: whether `size` stations are within reach."""
+    return near.groupBy(F.col("origin").alias("instance_id")).agg(F.count("*").alias("stations")).withColumn(
+        "status", F.when(F.col("stations") < size, "too few stations within reach").otherwise("ok"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import compare as cp
 from gridloom.operators import tours as tr
+from gridloom.operators.paths import instances_checked
 from gridloom.plans.registry import query
 
 
@@ -202,15 +203,65 @@ def window_scores(t):
         F.array_join("ordering", ">").alias("ordering"))
 
 
-@query("window_reoptimize")
+def _reoptimised(tours: str, costs: str, window: int, sweeps: int) -> str:
+    """The improvement as recursive SQL: one row per tour and window looked at; `tours` has (id, stops, total_km), `costs` (id, origin, node, km)."""
+    orders = "[" + ", ".join(str(list(p)) for p in permutations(range(1, window + 1))) + "]"
+    seat = "(o + {k}) % n + 1"
+    seats = "[" + ", ".join(f"stops[{seat.format(k=k)}]" for k in range(window + 2)) + "]"
+
+    def metres(walk: list[str]) -> str:
+        return " + ".join(f"m[{x}][{y}]" for x, y in zip(walk, walk[1:]))
+
+    now = metres([f"seats[{k}]" for k in range(1, window + 3)])
+    tried = metres(["seats[1]", *[f"seats[1 + p[{k}]]" for k in range(1, window + 1)], f"seats[{window + 2}]"])
+    back = "(i - o - 2 + n) % n"
+    return f"""
+WITH tour_rows AS (SELECT id, origin, list(CAST(km * 1000 AS BIGINT) ORDER BY node) AS line FROM ({costs}) GROUP BY 1, 2),
+tour_tables AS (SELECT id AS key, list(line ORDER BY origin) AS m, list(origin ORDER BY origin) AS names FROM tour_rows GROUP BY 1),
+tour_starts AS (
+  SELECT id, key, total_km AS start_km, len(stops) AS n, [CAST(list_position(names, s) AS BIGINT) FOR s IN stops] AS stops
+  FROM ({tours}) JOIN tour_tables USING (key)),
+improving(id, key, t, n, stops, dirty, improved, done, sweeps, solved, skipped, accepted) AS (
+  SELECT id, key, 0, n, stops, stops, false, false, 0, 0, 0, 0 FROM tour_starts
+  UNION ALL
+  SELECT id, key, t + 1, n,
+    CASE WHEN better THEN [CASE WHEN {back} < {window} THEN seats[1 + best.p[1 + {back}]] ELSE stops[i] END FOR i IN range(1, n + 1)] ELSE stops END,
+    CASE WHEN skip THEN dirty WHEN better THEN list_distinct(list_concat(dirty, seats)) ELSE [d FOR d IN dirty IF d <> seats[1]] END,
+    (o > 0 AND improved) OR better, o = n - 1 AND NOT ((o > 0 AND improved) OR better),
+    sweeps + CASE WHEN o = 0 THEN 1 ELSE 0 END, solved + CASE WHEN skip THEN 0 ELSE 1 END,
+    skipped + CASE WHEN skip THEN 1 ELSE 0 END, accepted + CASE WHEN better THEN 1 ELSE 0 END
+  FROM (SELECT *, NOT skip AND best.m < {now} AS better
+        FROM (SELECT *, list_sort([{{'m': {tried}, 'p': p}} FOR p IN {orders}])[1] AS best, NOT list_has_any(dirty, seats) AS skip
+              FROM (SELECT r.*, t % n AS o, m, {seats.replace("(o +", "(t % n +")} AS seats
+                    FROM improving r JOIN tour_tables USING (key) WHERE NOT done AND t < n * {sweeps})))),
+last_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC) AS rn FROM improving) WHERE rn = 1),
+turned AS (
+  SELECT l.*, s.start_km, names, m,
+    list_concat(l.stops[list_position(l.stops, s.stops[1]):], l.stops[1:list_position(l.stops, s.stops[1]) - 1]) AS walk
+  FROM last_rows l JOIN tour_starts s ON s.id = l.id JOIN tour_tables t ON t.key = l.key)
+SELECT id AS {{id}}, array_to_string([names[w] FOR w IN walk], '>') AS stops, start_km,
+  CAST(list_sum([m[walk[i]][walk[i % n + 1]] FOR i IN range(1, n + 1)]) AS DECIMAL(18,0)) * CAST(0.001 AS DECIMAL(4,3)) AS total_km,
+  sweeps AS sweeps_run, solved, skipped, accepted
+FROM turned"""
+
+
+_NET = _reoptimised(
+    "SELECT start AS id, 'net' AS key, stops, total_km FROM net_orders",
+    "SELECT 'net' AS id, origin, node, km FROM net_closure", 4, 8).replace("{id}", "start")
+_INSTANCES = _reoptimised(
+    "SELECT instance_id AS id, instance_id AS key, stops, total_km FROM inst_tours",
+    "SELECT instance_id AS id, origin, node, km FROM inst_costs", 4, 3).replace("{id}", "instance_id")
+
+
+@query("window_reoptimize", _NET)
 def window_reoptimize(t):
-    """The nation tours after eight sweeps with four stations free. No SQL: the loop is sequential."""
+    """The nation tours after eight sweeps with four stations free."""
     better = tr.window_reoptimize(t.net_tours, window=4, sweeps=8)
     return better.select("start", F.array_join(tr.stop_names(), ">").alias("stops"), "start_km", "total_km",
                          "sweeps_run", "solved", "skipped", "accepted")
 
 
-@query("window_reoptimize_instances")
+@query("window_reoptimize_instances", _INSTANCES)
 def window_reoptimize_instances(t):
     """The same on the instance around every customer and supplier."""
     better = tr.window_reoptimize(tr.nn_tours(t.instance_tables, t.instance_starts), window=4, sweeps=3)
@@ -218,6 +269,14 @@ def window_reoptimize_instances(t):
                          "sweeps_run", "solved", "skipped", "accepted")
 
 
+@query("instance_status", """
+SELECT start AS instance_id, count(*) AS stations, CASE WHEN count(*) < 6 THEN 'too few stations within reach' ELSE 'ok' END AS status
+FROM grid_near GROUP BY 1""")
+def instance_status(t):
+    """Every start, also those that get no instance because too few stations can be reached."""
+    return instances_checked(t.near, 6)
+
+
 def both_tours(t):
     """The nearest-neighbour tour and the exact one of every instance, side by side."""
     nn = tr.nn_tours(t.instance_tables, t.instance_starts).select("instance_id", F.col("total_km").alias("nn_km"))
