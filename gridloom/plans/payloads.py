@@ -95,7 +95,7 @@ def instance_runs(t):
         F.col("start").alias("tour_id"), tr.stop_names().alias("stops")))
     closure = t.leg_ways(walked.select("origin", "destination").distinct())
 
-    def solved(tours, side):
+    def solved(tours, side, label):
         orders = tours.select(
             F.concat_ws("/", "start", F.lit(side)).alias("tour_id"), "start", tr.stop_names().alias("stops"), "total_km")
         legs = cut(tr.travelled_legs(tr.tour_legs(orders), closure, t.grid_cut))
@@ -104,9 +104,11 @@ def instance_runs(t):
         counts = cut(pr.step_counts(legs.withColumnRenamed("tour_id", "route_id"), lines))
         losses = cut(pr.route_loss(counts))
         notes = pr.route_completeness(losses, counts).withColumn("caveats", pr.caveats())
-        return payload.tour_payload(legs, orders, checks), payload.route_payload(losses, notes), losses
+        routes = orders.select(F.col("tour_id").alias("route_id"), F.lit(label).alias("label"), F.col("total_km").alias("total_distance_km"))
+        return payload.tour_payload(legs, orders, checks), payload.route_payload(losses, notes, routes), losses
 
-    (nn_tour, nn_route, nn_loss), (qa_tour, qa_route, qa_loss) = solved(nn, "classical"), solved(better, "hybrid")
+    (nn_tour, nn_route, nn_loss) = solved(nn, "classical", "Nearest neighbour")
+    (qa_tour, qa_route, qa_loss) = solved(better, "hybrid", "Hybrid")
 
     def keyed(df, id_, name, value):
         return df.select(F.substring_index(id_, "/", 1).alias("start"), F.col(value).alias(name))
@@ -132,7 +134,13 @@ def instance_runs(t):
         F.struct(
             "start", F.col("nn_tour.stations_visited").alias("stations"), F.col("nn_km").alias("nn_distance_km"),
             F.col("nn_tour.valid").alias("nn_valid"), F.col("hybrid_km").alias("hybrid_distance_km"),
-            F.col("qa_tour.valid").alias("hybrid_valid"), "improvement_km", "improvement_percent", "winner").alias("comparison"),
+            F.col("qa_tour.valid").alias("hybrid_valid"), "improvement_km", "improvement_percent", "winner",
+            F.array(*[F.struct(F.lit(label).alias("label"), passed.alias("passed")) for label, passed in (
+                ("same stations", F.array_sort("nn_tour.order") == F.array_sort("qa_tour.order")),
+                ("same starting station", F.col("nn_tour.start") == F.col("qa_tour.start")),
+                ("both tours return to their start", (F.element_at("nn_tour.closed_route", -1) == F.col("nn_tour.start"))
+                 & (F.element_at("qa_tour.closed_route", -1) == F.col("qa_tour.start"))))]).alias("same_problem_checks")
+        ).alias("comparison"),
         F.struct(
             F.struct(money.rate(tariff).alias("inr_per_kwh"), F.lit(tariff.category).alias("category"),
                      F.lit(tariff.component).alias("component"), F.lit(tariff.authority).alias("authority")).alias("tariff"),
@@ -154,14 +162,16 @@ legs AS (
 
 
 @query("response_sink", f"""WITH {INSTANCE_LEGS}
-SELECT t.instance_id AS start, t.total_km AS nn_distance_km, CAST(direct AS VARCHAR) AS direct_legs, 'true' AS nn_valid
+SELECT t.instance_id AS start, t.total_km AS nn_distance_km, CAST(direct AS VARCHAR) AS direct_legs, 'true' AS nn_valid, t.total_km AS route_km, 'Nearest neighbour' AS label, 'true' AS same_stations
 FROM inst_tours t JOIN (SELECT instance_id, count(*) FILTER (is_direct) AS direct FROM legs GROUP BY 1) d ON d.instance_id = t.instance_id""")
 def response_sink(t):
     """Fields of the payload text, read back by their path."""
     return instance_runs(t).select("start", *[
         F.get_json_object("payload", path).alias(name) for name, path in (
             ("nn_distance_km", "$.comparison.nn_distance_km"), ("direct_legs", "$.classical.tour.direct_legs"),
-            ("nn_valid", "$.comparison.nn_valid"))]).withColumn("nn_distance_km", F.col("nn_distance_km").cast("decimal(18,3)"))
+            ("nn_valid", "$.comparison.nn_valid"), ("route_km", "$.energy.classical.total_distance_km"),
+            ("label", "$.energy.classical.label"), ("same_stations", "$.comparison.same_problem_checks[0].passed"))]).withColumns(
+        {c: F.col(c).cast("decimal(18,3)") for c in ("nn_distance_km", "route_km")})
 
 
 @query("json_payload_source", f"""WITH {INSTANCE_LEGS}
@@ -283,10 +293,10 @@ def index_sink(t):
 
 
 @query("index_source", """
-SELECT kind, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM corpus WHERE kind <> 'code' GROUP BY 1""")
+SELECT kind, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM corpus GROUP BY 1""")
 def index_source(t):
-    """Two kinds of a stored index; the other kind's files are not read."""
+    """A stored index, loaded and counted per kind."""
     path = scratch_path(t.spark, "index")
     index.save_index(t.corpus, path)
-    return index.load_index(t.spark, path).where("kind <> 'code'").groupBy("kind").agg(
+    return index.load_index(t.spark, path).groupBy("kind").agg(
         F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))

@@ -1,4 +1,4 @@
-"""Every registered query runs; a spread of them is held against its SQL twin on the smallest folder."""
+"""A spread of registered queries, held against their SQL twins on the smallest folder; tools/check_oracle.py runs them all."""
 
 from __future__ import annotations
 
