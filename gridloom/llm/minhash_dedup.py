@@ -43,6 +43,8 @@ from gridloom.llm.shared import fresh, stored
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 REMEMBERED = 400_000
+#: 64-bit words of a set's bitmap.
+MARKS = 32
 #: Shingles whose permutations are spelled out at a time.
 CHUNK = 100_000
 
@@ -166,8 +168,15 @@ def described(source: DataFrame, settings: Settings) -> DataFrame:
     return source.mapInArrow(describe, "doc_id long, row_key long, n_shingles long, class binary, bands array<long>")
 
 
-def full_sets(source: DataFrame, settings: Settings) -> DataFrame:
-    """(class, items): the set of every row of `source`."""
+def marks(items: np.ndarray) -> np.ndarray:
+    """A bit per residue of the items, as `MARKS` 64-bit words: two sets differ in at least as many items as their marks in bits."""
+    bits = np.zeros(64 * MARKS, dtype=np.uint8)
+    bits[(items >> np.uint64(7)) % np.uint64(64 * MARKS)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def full_sets(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(class, items, marks): the set of every text."""
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -175,52 +184,54 @@ def full_sets(source: DataFrame, settings: Settings) -> DataFrame:
             for _, sets in _parts(batch, settings, hashes, 0):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "items"])
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([marks(s) for s in sets], pa.list_(pa.int64()))], names=["class", "items", "marks"])
 
-    return source.mapInArrow(unfold, "class binary, items array<long>")
+    return texts.mapInArrow(unfold, "class binary, items array<long>, marks array<long>")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, settings: Settings) -> DataFrame:
-    """The distinct pairs (a, b) of classes that reach the threshold on their full sets.
-
-    Sets are made anew from one text of each class that is in a pair, which moves
-    less than carrying every set along.
-    """
-    pairs = stored(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    one_each = asked.join(classes, "class").select("row_key").distinct()
-    texts = source.join(one_each, "row_key").select("t")
-    sets = stored(full_sets(texts, settings), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The distinct pairs (a, b) of classes that reach the threshold on their full sets."""
     both = (
-        pairs.join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
+        pairs.distinct().join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("class").alias("b"), F.col("items").alias("y")), "b"))
     meet = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("m"))
     return stored(meet.where(100 * F.col("n") >= settings.percent * (F.col("m") - F.col("n"))).select("a", "b").distinct(), "links")
 
 
 def _bucketed(classes: DataFrame) -> DataFrame:
-    """(key, class, first): the classes of every band key that several share, with the smallest of them."""
+    """(key, class, first, n): the classes of every band key that several share, with the smallest of them and their number."""
     keys = classes.select(F.explode("bands").alias("key"), "class")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).where("n > 1")
     return keys.join(shared, "key").select("key", "class", "first", "n")
 
 
-def _left_over(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket, not with its smallest class, whose ends are in different groups so far.
+def _left_over(buckets: DataFrame, roots: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of one bucket, not with its smallest class, whose ends are in different groups so far and may still be linked.
 
     Every such pair has an end outside the group of the bucket's smallest class,
-    so only those classes are paired with the bucket.
+    so only those classes are held against the bucket. A pair's sets may differ in
+    so many items at most; where sizes or marks differ in more, no row is made.
     """
     of = roots.select(F.col("node").alias("class"), "root")
     at_first = of.select(F.col("class").alias("first"), F.col("root").alias("first_root"))
     named = (
-        buckets.where("n > 2").join(of, "class", "left").join(at_first, "first", "left")
-        .select("key", "class", F.coalesce("root", "class").alias("root"), F.coalesce("first_root", "first").alias("first_root"), (F.col("class") == F.col("first")).alias("is_first")))
-    others = named.where("NOT is_first")
-    apart = others.where("root <> first_root").select("key", F.col("class").alias("a"), F.col("root").alias("root_a"))
-    mates = others.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("first_root")).alias("b_apart"))
-    pairs = apart.join(mates, "key").where("root_a <> root_b AND (NOT b_apart OR a < b)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        buckets.where("n > 2 AND class <> first").join(of, "class", "left").join(at_first, "first", "left")
+        .select("key", "class", F.coalesce("root", "class").alias("root"), F.coalesce("first_root", "first").alias("first_root")))
+    torn = named.where("root <> first_root").select("key").distinct()
+    about = sets.select("class", F.size("items").cast("long").alias("size"), "marks")
+    others = stored(named.join(torn, "key", "left_semi").join(about, "class"), "others")
+    apart = others.where("root <> first_root").select("key", *[F.col(c).alias(f"{c}_a") for c in ("class", "root", "size", "marks")])
+    mates = others.select(
+        "key", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "size", "marks")], (F.col("root") != F.col("first_root")).alias("b_apart"))
+    differ = sum((F.bit_count(F.get("marks_a", F.lit(k)).bitwiseXOR(F.get("marks_b", F.lit(k)))) for k in range(1, MARKS)),
+                 F.bit_count(F.get("marks_a", F.lit(0)).bitwiseXOR(F.get("marks_b", F.lit(0)))))
+    may = (
+        (F.col("root_a") != F.col("root_b")) & (~F.col("b_apart") | (F.col("class_a") < F.col("class_b")))
+        & (100 * F.least("size_a", "size_b") >= settings.percent * F.greatest("size_a", "size_b"))
+        & ((100 + settings.percent) * differ <= (100 - settings.percent) * (F.col("size_a") + F.col("size_b"))))
+    pairs = apart.join(mates.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & may)
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def resolved(df: DataFrame, doc_id: str, text: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -232,10 +243,13 @@ def resolved(df: DataFrame, doc_id: str, text: str, settings: Settings) -> tuple
             F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.any_value("bands").alias("bands"),
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")), "classes")
     buckets = stored(_bucketed(classes), "buckets")
-    named = classes.select("class", "row_key")
-    links = verified(buckets.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")), named, source, settings)
+    # The sets of all classes that share a bucket, made anew from one text each: that moves less than carrying every set along.
+    asked = buckets.select("class").distinct().join(classes.select("class", "row_key"), "class").select("row_key").distinct()
+    texts = source.join(asked, "row_key").dropDuplicates(["row_key"]).select("t")
+    sets = stored(full_sets(texts, settings).join(buckets.select("class").distinct(), "class", "left_semi"), "sets")
+    links = verified(buckets.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")), sets, settings)
     roots = groups(links)
-    more = verified(_left_over(buckets, roots), named, source, settings)
+    more = verified(_left_over(buckets, roots, sets, settings), sets, settings)
     if not more.isEmpty():
         roots = groups(links.union(more))
     members = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
