@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat_format, embedding_dedup, language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
-from gridloom.llm.queries_sql import QUALITY, SECRETS
+from gridloom.llm.queries_sql import QUALITY, SECRETS, SHINGLES, VECTORS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,13 +86,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query()
+@query(SHINGLES)
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash_dedup.Settings(words=3, percent=85)
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), settings=settings)
 
 
-@query()
+@query(VECTORS)
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 

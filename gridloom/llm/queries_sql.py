@@ -59,3 +59,32 @@ SELECT doc_id, len(list_filter(s, lambda x: x.kind = 'assign'))::BIGINT AS n_ass
   len(list_filter(s, lambda x: x.kind = 'access'))::BIGINT AS n_access, len(list_filter(s, lambda x: x.kind = 'hex'))::BIGINT AS n_hex,
   sha256(array_to_string(base, ',')) AS base_sha256, array_to_string(spans, ',') AS spans
 FROM shown"""
+
+
+VECTORS = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+sound AS (
+  SELECT r, e, sqrt(list_sum([x * x FOR x IN e])) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+unit AS (SELECT r, [x / n FOR x IN e] AS u FROM sound),
+links AS (SELECT a.r AS x, b.r AS y FROM unit a JOIN unit b ON a.r <> b.r AND len(a.u) = len(b.u) AND list_dot_product(a.u, b.u) >= 0.9),
+reach(r, low) AS (SELECT r, vec_id FROM v UNION SELECT y, low FROM reach JOIN links ON x = r),
+lowest AS (SELECT r, min(low) AS low FROM reach GROUP BY r),
+degrees AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, coalesce(vec_id = low, false) AS kept
+FROM v JOIN lowest USING (r) LEFT JOIN degrees USING (r)"""
+
+SHINGLES = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+u AS (SELECT r, len(sh) AS n, unnest(sh) AS g FROM s),
+meet AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT x, y FROM meet WHERE 100 * c >= 85 * (na + nb - c)),
+reach(r, low) AS (SELECT r, doc_id FROM s UNION SELECT y, low FROM reach JOIN links ON x = r),
+lowest AS (SELECT r, min(low) AS low FROM reach GROUP BY r)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, low AS component_id, coalesce(doc_id = low, false) AS kept
+FROM s JOIN lowest USING (r)"""
