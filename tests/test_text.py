@@ -47,7 +47,7 @@ def corpus(spark):
     return spark.createDataFrame([("index", f"d{i}", "doc", "", "", t) for i, t in enumerate(texts)], CHUNKS), texts
 
 
-def test_both_ways_of_scoring_match_plain_python(spark):
+def test_scores_match_plain_python(spark):
     chunks, texts = corpus(spark)
     questions = ["alpha beta gamma delta", "omega", "nothing known", "alpha alpha unknown words here"]
     asked = spark.createDataFrame([(str(i), "index", q) for i, q in enumerate(questions)], "qid string, corpus_id string, question string")
@@ -66,15 +66,14 @@ def test_both_ways_of_scoring_match_plain_python(spark):
             # "here" and "words" stem to themselves up to the ending, which no text has
             if matched >= max(1, math.ceil(0.4 * len(terms))):
                 want[str(i), f"d{j}"] = round(score, 6)
-    for rare_first in (True, False):
-        got = rt.bm25(asked, chunks, rare_first=rare_first).collect()
-        assert {(r["qid"], r["id"]): round(r["score"], 6) for r in got} == want
+    got = rt.bm25(asked, chunks).collect()
+    assert {(r["qid"], r["id"]): round(r["score"], 6) for r in got} == want
 
 
 def test_context_keeps_the_first_and_stops_at_the_first_misfit(spark):
     chunks = spark.createDataFrame([("index", f"d{i}", "doc", "t", "l", "w" * n) for i, n in enumerate((900, 3000, 10))], CHUNKS)
-    hits = spark.createDataFrame([("q", f"d{i}", "doc", s, i + 1) for i, s in enumerate((3.0, 2.0, 1.0))],
-                                 "qid string, id string, kind string, score double, rank int")
+    hits = spark.createDataFrame([("q", "index", f"d{i}", "doc", s, i + 1) for i, s in enumerate((3.0, 2.0, 1.0))],
+                                 "qid string, corpus_id string, id string, kind string, score double, rank int")
     assert [r["id"] for r in rt.budget_cut(hits, chunks, budget=1500).orderBy("position").collect()] == ["d0"]
     assert rt.budget_cut(hits, chunks, budget=10).count() == 1
     whole = rt.budget_cut(hits, chunks)
