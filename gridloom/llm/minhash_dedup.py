@@ -200,36 +200,39 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
 
 
 def _bucketed(classes: DataFrame) -> DataFrame:
-    """(key, class, first, n): the classes of every band key that several share, with the smallest of them and their number."""
-    keys = classes.select(F.explode("bands").alias("key"), "class")
+    """(key, spot, class, first, n): the classes of every band key that several share, with its band, the smallest class and their number."""
+    keys = classes.select(F.posexplode("bands").alias("spot", "key"), "class")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).where("n > 1")
-    return keys.join(shared, "key").select("key", "class", "first", "n")
+    return keys.join(shared, "key").select("key", "spot", "class", "first", "n")
 
 
-def _left_over(buckets: DataFrame, roots: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def _left_over(buckets: DataFrame, roots: DataFrame, sets: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """Pairs of one bucket, not with its smallest class, whose ends are in different groups so far and may still be linked.
 
     Every such pair has an end outside the group of the bucket's smallest class,
     so only those classes are held against the bucket. A pair's sets may differ in
     so many items at most; where sizes or marks differ in more, no row is made.
+    A pair of several buckets is formed in that of the first band alone.
     """
     of = roots.select(F.col("node").alias("class"), "root")
     at_first = of.select(F.col("class").alias("first"), F.col("root").alias("first_root"))
     named = (
         buckets.where("n > 2 AND class <> first").join(of, "class", "left").join(at_first, "first", "left")
-        .select("key", "class", F.coalesce("root", "class").alias("root"), F.coalesce("first_root", "first").alias("first_root")))
+        .select("key", "spot", "class", F.coalesce("root", "class").alias("root"), F.coalesce("first_root", "first").alias("first_root")))
     torn = named.where("root <> first_root").select("key").distinct()
     about = sets.select("class", F.size("items").cast("long").alias("size"), "marks")
-    others = stored(named.join(torn, "key", "left_semi").join(about, "class"), "others")
-    apart = others.where("root <> first_root").select("key", *[F.col(c).alias(f"{c}_a") for c in ("class", "root", "size", "marks")])
-    mates = others.select(
-        "key", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "size", "marks")], (F.col("root") != F.col("first_root")).alias("b_apart"))
+    others = stored(named.join(torn, "key", "left_semi").join(about, "class").join(classes.select("class", "bands"), "class"), "others")
+    told = ("class", "root", "size", "marks", "bands")
+    apart = others.where("root <> first_root").select("key", "spot", *[F.col(c).alias(f"{c}_a") for c in told])
+    mates = others.select("key", *[F.col(c).alias(f"{c}_b") for c in told], (F.col("root") != F.col("first_root")).alias("b_apart"))
     differ = sum((F.bit_count(F.get("marks_a", F.lit(k)).bitwiseXOR(F.get("marks_b", F.lit(k)))) for k in range(1, MARKS)),
                  F.bit_count(F.get("marks_a", F.lit(0)).bitwiseXOR(F.get("marks_b", F.lit(0)))))
     may = (
         (F.col("root_a") != F.col("root_b")) & (~F.col("b_apart") | (F.col("class_a") < F.col("class_b")))
         & (100 * F.least("size_a", "size_b") >= settings.percent * F.greatest("size_a", "size_b"))
         & ((100 + settings.percent) * differ <= (100 - settings.percent) * (F.col("size_a") + F.col("size_b"))))
+    for k in range(settings.bands):
+        may = may & ((F.col("spot") <= k) | (F.get("bands_a", F.lit(k)) != F.get("bands_b", F.lit(k))))
     pairs = apart.join(mates.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & may)
     return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
@@ -249,7 +252,7 @@ def resolved(df: DataFrame, doc_id: str, text: str, settings: Settings) -> tuple
     sets = stored(full_sets(texts, settings).join(buckets.select("class").distinct(), "class", "left_semi"), "sets")
     links = verified(buckets.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")), sets, settings)
     roots = groups(links)
-    more = verified(_left_over(buckets, roots, sets, settings), sets, settings)
+    more = verified(_left_over(buckets, roots, sets, classes, settings), sets, settings)
     if not more.isEmpty():
         roots = groups(links.union(more))
     members = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
