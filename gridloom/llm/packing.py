@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import stored
-from gridloom.llm.tokens import default_path, encoder, ids_of
+from gridloom.llm.tokens import default_path, library_encoder, ids_of
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -45,7 +45,7 @@ def cut_into_pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     path = path or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = library_encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             for key, whole in zip(batch.column(0), batch.column(1)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.tokens import default_path, encoder
+from gridloom.llm.tokens import default_path, library_encoder
 
 BLOCK = 1024
 
@@ -29,7 +29,7 @@ def lengths(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
     path = path or default_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = library_encoder(path)
         for batch in batches:
             texts = batch.column(0)
             yield pa.record_batch([pa.array([len(encode(t)) if (t := x.as_py()) else 0 for x in texts], pa.int64())], ["n_tokens"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,11 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """``encode(text) -> numpy ids`` for a byte-level vocabulary of the `tokenizers` library.
@@ -32,10 +38,57 @@ def encoder(path: str):
     Where ids are in the order of the merges, which is checked here, ids double as
     merge ranks and the faster rank-based encoder gives the same ids. Otherwise
     the `tokenizers` library itself encodes. Strings of special tokens in a text
-    are ordinary text.
+    are ordinary text; `library_encoder` gives them their ids.
     """
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+    encode = _rank_encoder(_spec(path))
+    if encode is not None:
+        return encode
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return lambda text: library.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str):
+    """``encode(text) -> ids`` exactly as the `tokenizers` library encodes by default, without ids of its own around the text.
+
+    The library cuts a text at the added tokens of the file, the leftmost and
+    longest first, and encodes what lies between on its own. Added tokens that also
+    take in white space, ask for whole words or are looked up in two passes are
+    left to the library.
+    """
+    spec = _spec(path)
+    encode, added = _rank_encoder(spec), spec.get("added_tokens", [])
+    simple = not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or not t["content"] for t in added)
+    if encode is None or not simple or len({t.get("normalized") for t in added}) > 1:
+        import tokenizers
+
+        library = tokenizers.Tokenizer.from_file(path)
+        return lambda text: library.encode(text, add_special_tokens=False).ids
+    if not added:
+        return encode
+    ids = {t["content"]: t["id"] for t in added}
+    cuts = re.compile("(" + "|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True)) + ")")
+
+    def whole(text: str) -> list[int]:
+        parts = cuts.split(text)
+        if len(parts) == 1:
+            return encode(text)
+        out: list[int] = []
+        for at, part in enumerate(parts):
+            if at % 2:
+                out.append(ids[part])
+            elif part:
+                out.extend(encode(part))
+        return out
+
+    return whole
+
+
+def _rank_encoder(spec: dict):
+    """The rank-based encoder of a vocabulary whose ids are in merge order, or None; it knows no added tokens."""
     back, model = _byte_of(), spec["model"]
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(back[c] for c in piece): at for piece, at in model["vocab"].items() if piece not in special}
@@ -43,15 +96,11 @@ def encoder(path: str):
     made = [model["vocab"][a + b] for a, b in merges]
     plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" \
         and not spec["pre_tokenizer"].get("add_prefix_space")
-    if plain and made == sorted(set(made)) and len(ranks) == 256 + len(made):
-        import tiktoken
+    if not plain or made != sorted(set(made)) or len(ranks) != 256 + len(made):
+        return None
+    import tiktoken
 
-        return tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    import tokenizers
-
-    library = tokenizers.Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    return lambda text: library.encode(text, add_special_tokens=False).ids
+    return tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def ids_of(encode, text: str | None) -> np.ndarray:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import re
 import struct
+import zlib
 from collections import Counter
 
 import pytest
 
-from gridloom.llm import chat_format, language_id, piece_codec, quality_rules, secret_scan, token_counts, tokens, toxicity, trigrams
+from gridloom.llm import chat_format, language_id, packing, piece_codec, quality_rules, secret_scan, token_counts, tokens, toxicity, trigrams
 
 SCHEMA = "doc_id long, text string, n_words string, score string"
 GOOD = "the cat sat on the mat and it was of a kind that is rare in this part of the world by now"
@@ -192,6 +194,41 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert list(encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext|endoftext|>", " <|endoftext|>'s", "a \t<|endoftext|>"]
+
+
+def test_ids_of_added_tokens_are_those_of_the_librarys_defaults(spark):
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(tokens.default_path())
+    encode = tokens.library_encoder(tokens.default_path())
+    want = {text: library.encode(text, add_special_tokens=False).ids for text in [*SPECIAL, *TEXTS, GOOD]}
+    assert want[SPECIAL[0]] == [64, 220, 50256, 275]
+    assert {text: list(encode(text)) for text in want} == want
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in token_counts.lengths(df).collect()) == sorted(len(want[t]) for t in SPECIAL)
+    pieces = {r["doc_id"]: r["ids_crc32"] for r in packing.cut_into_pieces(df).collect()}
+    assert pieces == {k: zlib.crc32(struct.pack(f"<{len(want[t]) + 1}I", *want[t], packing.CLOSING_ID)) for k, t in enumerate(SPECIAL)}
+
+
+@pytest.mark.parametrize("change", [{"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"special": False}, {"normalized": True}, {"model": None}])
+def test_other_vocabulary_files_encode_like_the_library(tmp_path, change):
+    import tokenizers
+
+    with open(tokens.default_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    if "model" in change:  # not plain, so that the library encodes
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    else:
+        spec["added_tokens"][0] |= change
+    path = str(tmp_path / "vocabulary.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(spec, file)
+    library, encode = tokenizers.Tokenizer.from_file(path), tokens.library_encoder(path)
+    for text in [*SPECIAL, "a<|endoftext|>b"]:
+        assert list(encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_suffix_sums_answer_for_every_limit(spark, hostile, empty):
     sizes = [0, 1, 1, 5, 1023, 1024, 1025, 5000]
     hist = token_counts.histogram(spark.createDataFrame([(n,) for n in sizes], "n_tokens long"))
