@@ -11,6 +11,12 @@ import numpy as np
 #: How byte-level BPE cuts a text before merging (a fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space of that pattern, which is not quite Python's.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are cut out before encoding: the engine behind the pattern gives up within one of a million.
+LONG_RUN = 500_000
+_RUNS = re.compile(f"[{SPACE}]+")
+
 
 def default_path() -> str:
     """The 50k byte-level vocabulary of the public tokenizers on this machine."""
@@ -100,7 +106,33 @@ def _rank_encoder(spec: dict):
         return None
     import tiktoken
 
-    return tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encode = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    merge = tiktoken.Encoding("one-piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return _with_long_runs(encode, merge)
+
+
+def _with_long_runs(encode, merge):
+    """`encode` for texts with white space of any length; `merge` encodes one piece that the pattern would not cut.
+
+    The pattern takes a run of white space whole at the end of a text, and else
+    without its last character, which belongs to what follows.
+    """
+
+    def whole(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return encode(text)
+        out, done = [], 0
+        for run in _RUNS.finditer(text):
+            first, last = run.span()
+            if last - first >= LONG_RUN:
+                last -= last < len(text)
+                out += encode(text[done:first])
+                out += merge(text[first:last])
+                done = last
+        out += encode(text[done:])
+        return out
+
+    return whole
 
 
 def ids_of(encode, text: str | None) -> np.ndarray:

@@ -211,6 +211,37 @@ def test_ids_of_added_tokens_are_those_of_the_librarys_defaults(spark):
     assert pieces == {k: zlib.crc32(struct.pack(f"<{len(want[t]) + 1}I", *want[t], packing.CLOSING_ID)) for k, t in enumerate(SPECIAL)}
 
 
+@pytest.mark.parametrize("text", [
+    "word" + " " * 2_000_000 + "x", "\n" * 2_000_000, " \n" * 500_000 + "\u3000 <|endoftext|> \t" + " " * 500_001 + "\n5", "a" + "\u3000" * 1_100_000 + "\x1c"])
+def test_very_long_white_space_is_encoded_like_the_library(text):
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(tokens.default_path())
+    want = library.encode(text, add_special_tokens=False).ids
+    assert list(tokens.library_encoder(tokens.default_path())(text)) == want
+    if "<|" not in text:
+        assert list(tokens.encoder(tokens.default_path())(text)) == want
+
+
+def test_runs_are_cut_where_the_pattern_cuts_them(monkeypatch):
+    import random
+
+    import tokenizers
+
+    monkeypatch.setattr(tokens, "LONG_RUN", 2)
+    library, encode = tokenizers.Tokenizer.from_file(tokens.default_path()), tokens.library_encoder(tokens.default_path())
+    rng, letters = random.Random(11), " \t\n\v\f\r\x1c\x1f\x85\xa0\u1680\u180e\u2000\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff  \n a's1!"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(2, 20)))
+        assert list(encode(text)) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_long_white_space_does_not_end_the_task(spark):
+    df = spark.createDataFrame([(1, "word" + " " * 2_000_000 + "x"), (2, GOOD)], "doc_id long, text string")
+    assert token_counts.lengths(df).count() == 2
+    assert {r["doc_id"] for r in packing.cut_into_pieces(df).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("change", [{"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"special": False}, {"normalized": True}, {"model": None}])
 def test_other_vocabulary_files_encode_like_the_library(tmp_path, change):
     import tokenizers
