@@ -118,6 +118,29 @@ def test_language_model_learns_and_rejects(spark, hostile, empty):
     assert {r["lang_pred"] for r in language_id.identified(hostile, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(230)]
+    rows = [(230 * k + n, " ".join(rng.choices(words[n], k=12)), f"l{n:03}") for k in range(40) for n in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pairs = language_id.sample(docs)
+    assert len({language for _, language in pairs}) == 230
+    model = language_id.train(pairs)
+    held = language_id.identified(docs.where(language_id.held_out(docs.doc_id)), model).collect()
+    assert len({r["lang_pred"] for r in held}) == 230
+    assert sum(r["lang_pred"] == r["row"]["lang"] for r in held) > 0.97 * len(held)
+
+
+def test_without_a_learned_language_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None), (3, "12 _ !", None), (4, "\u00bd", None), (5, "слово", None)],
+                                 "doc_id long, text string, lang string")
+    model = language_id.train(language_id.sample(docs))
+    kept = language_id.keep_identified(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 5}
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(language_id.sample(docs))
