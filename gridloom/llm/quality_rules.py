@@ -8,6 +8,8 @@ Defined results
     repeated rows           each row is measured on its own
     empty table             an empty result with the same schema
     null in other columns   passed through
+    other languages         a text of 30 words or more in a language without the words of STOP_WORDS
+                            (Russian, Greek, Polish, Turkish ...) fails `stop_words` and is not kept
     clashing column names   input columns live in one struct, so none clashes with a measure
 """
 
