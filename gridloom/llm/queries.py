@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, embedding_dedup, language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
-from gridloom.llm.queries_sql import QUALITY, SECRETS, SHINGLES, VECTORS
+from gridloom.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
+from gridloom.llm.queries_sql import EQUAL_TEXTS, QUALITY, SECRETS, SHINGLES, VECTORS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,9 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.repaired(table(spark, sf_dir, "conversations"))
+
+
+@query(EQUAL_TEXTS)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    equal = exact_dedup.equal_texts(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return equal.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")

@@ -88,3 +88,12 @@ reach(r, low) AS (SELECT r, doc_id FROM s UNION SELECT y, low FROM reach JOIN li
 lowest AS (SELECT r, min(low) AS low FROM reach GROUP BY r)
 SELECT doc_id, len(sh)::BIGINT AS n_shingles, low AS component_id, coalesce(doc_id = low, false) AS kept
 FROM s JOIN lowest USING (r)"""
+
+
+EQUAL_TEXTS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW best AS (PARTITION BY t ORDER BY chars DESC, doc_id ASC NULLS LAST, r)"""
