@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
-from gridloom.llm.queries_sql import EQUAL_TEXTS, QUALITY, SECRETS, SHINGLES, VECTORS
+from gridloom.llm import chat_format, embedding_dedup, exact_dedup, language_id, lexical_search, minhash_dedup, packing, piece_codec, quality_rules, resampling, secret_scan, token_counts, toxicity
+from gridloom.llm.queries_sql import DRAWN, EQUAL_TEXTS, QUALITY, RANKED, SECRETS, SHINGLES, VECTORS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.repaired(table(spark, sf_dir, "conversations"))
 
 
+@query(DRAWN)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(RANKED)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.item_id").alias("item_id"), "rank", "doc_id", "score")
+
+
 @query(EQUAL_TEXTS)
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     equal = exact_dedup.equal_texts(table(spark, sf_dir, "documents"), keep=["doc_id"])

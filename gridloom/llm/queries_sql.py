@@ -97,3 +97,56 @@ WITH d AS (
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW best AS (PARTITION BY t ORDER BY chars DESC, doc_id ASC NULLS LAST, r)"""
+
+#: The entry of a CRC-32 table for one byte, by its rule: eight steps of a shift that the reflected polynomial joins on a set bit.
+_CRC_STEPS = "list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)"
+
+DRAWN = rf"""
+WITH crc AS (SELECT list({_CRC_STEPS} ORDER BY b) AS steps FROM (SELECT unnest(range(256)) AS b)),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT side, r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT side, r, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))],
+    [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS f FROM words),
+kinds AS (SELECT side, r, f, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM kinds)),
+buckets AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, [('0x' || h[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(len(h) // 2)]),
+    lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+found AS (SELECT side, r, bucket, sum(n)::BIGINT AS n FROM kinds JOIN buckets USING (f) GROUP BY ALL),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM found GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain
+  FROM counts),
+weights AS (SELECT r, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM found JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r) WHERE side = 'd'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id ASC NULLS LAST) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM placed"""
+
+RANKED = r"""
+WITH texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+terms AS (
+  SELECT side, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM texts),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM terms WHERE side = 'd'),
+asked AS (SELECT r AS q, id AS item_id, unnest(list_distinct(w)) AS term FROM terms WHERE side = 'b'),
+spread AS (SELECT r, id AS doc_id, len(w) AS n, unnest(w) AS term FROM terms WHERE side = 'd'),
+postings AS (SELECT r, doc_id, n, term, count(*) AS tf FROM spread WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), total GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS place FROM scores WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM placed WHERE place <= 50"""
