@@ -69,17 +69,28 @@ def hashed(chunk: Column, settings: Settings = Settings()) -> Column:
     return digest if settings.bits >= 64 else digest.bitwiseAND((1 << settings.bits) - 1)
 
 
+def _occurrences(df: DataFrame, text: str, settings: Settings) -> DataFrame:
+    cut = df.select(normalised(F.col(f"`{text}`")).alias("t")).select(F.explode(chunks(F.col("t"), settings)).alias("chunk"))
+    return cut.select(hashed(F.col("chunk"), settings).alias("key"), "chunk")
+
+
 def chunk_store(df: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, chunk): every distinct chunk of all texts once."""
-    cut = df.select(normalised(F.col(f"`{text}`")).alias("t")).select(F.explode(chunks(F.col("t"), settings)).alias("chunk"))
-    return cut.select(hashed(F.col("chunk"), settings).alias("key"), "chunk").distinct()
+    return _occurrences(df, text, settings).distinct()
+
 
+def shared_hashes(df: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame | None:
+    """(key, chunk, variant) for the hashes that different chunks share: variant counts them from 1. None if there are none.
 
-def shared_hashes(store: DataFrame) -> DataFrame:
-    """(key, chunk, variant) for the hashes that different chunks share: variant counts them from 1."""
-    several = store.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    Distinct chunks are counted per hash; only those of a hash with several are looked at again.
+    """
+    several = stored(
+        chunk_store(df, text, settings).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    if several.isEmpty():
+        return None
     order = Window.partitionBy("key").orderBy("chunk")
-    return store.join(several, "key").withColumn("variant", F.row_number().over(order))
+    again = _occurrences(df, text, settings).join(several, "key", "left_semi").distinct()
+    return stored(again.withColumn("variant", F.row_number().over(order)), "hashes")
 
 
 def recipes(df: DataFrame, text: str = "text", keep=None, settings: Settings = Settings()) -> DataFrame:
@@ -89,13 +100,13 @@ def recipes(df: DataFrame, text: str = "text", keep=None, settings: Settings = S
     those that other chunks share, and is empty in practice; both together are the
     ordered list of verified identifiers. `at` numbers the rows.
     """
-    shared = stored(shared_hashes(chunk_store(df, text, settings)), "hashes")
+    shared = shared_hashes(df, text, settings)
     plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     cut = df.select(whole_row(df, keep).alias("row"), F.length(plain).cast("long").alias("n_chars"), normalised(F.col(f"`{text}`")).alias("t")).select(
         "row", "n_chars", F.sha2("t", 256).alias("text_sha256"), chunks(F.col("t"), settings).alias("chunks"))
     made = cut.withColumn("recipe", F.transform("chunks", lambda c: hashed(c, settings))).withColumn("at", F.monotonically_increasing_id())
     unshared = F.expr("CAST(array() AS array<struct<place:int,variant:int>>)")
-    if shared.isEmpty():
+    if shared is None:
         return stored(made.drop("chunks").withColumn("variants", unshared), "recipes")
     made = stored(made, "recipes")
     found = made.select("at", F.posexplode("chunks").alias("place", "chunk")).withColumn("key", hashed(F.col("chunk"), settings))
