@@ -35,6 +35,8 @@ CAPACITY = 2048
 CLOSING_ID = 0
 #: Pieces of one length that are counted through together; longer lists are split by hash.
 SLICE = 500
+#: Slack that a bin may keep for the sake of longer pieces: none, then these parts of the capacity.
+SLACKS = (0, 128, 64, 32, 16, 8, 4, 2, 1)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -61,10 +63,13 @@ def cut_into_pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     return source.mapInArrow(cut, PIECES)
 
 
-def fullest(counts: dict[int, int], space: int, most: int) -> dict[int, int]:
-    """The combination of lengths of at most `most` with the largest sum within `space`; few long pieces first."""
+def fullest(counts: dict[int, int], space: int, most: int, slack: int = 0) -> dict[int, int]:
+    """The combination of lengths of at most `most` with the largest sum within `space`; few long pieces first.
+
+    The longest lengths are tried alone as long as they leave more than `slack` of the space.
+    """
     lengths = [n for n in sorted(counts, reverse=True) if n <= min(space, most) and counts[n]]
-    mask, reach, steps = (1 << (space + 1)) - 1, 1, []
+    mask, reach, steps, enough = (1 << (space + 1)) - 1, 1, [], max(space - slack, 1)
     for n in lengths:
         steps.append(reach)
         left, chunk = min(counts[n], space // n), 1
@@ -72,7 +77,7 @@ def fullest(counts: dict[int, int], space: int, most: int) -> dict[int, int]:
             use = min(chunk, left)
             reach |= (reach << (n * use)) & mask
             left, chunk = left - use, chunk * 2
-        if reach >> space & 1:
+        if reach >> enough:
             break
     target, taken = reach.bit_length() - 1, {}
     for n, before in zip(reversed(lengths[:len(steps)]), reversed(steps)):
@@ -81,21 +86,21 @@ def fullest(counts: dict[int, int], space: int, most: int) -> dict[int, int]:
     return taken
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, first, last, sequence, per_bin, offset) that place every counted piece.
+def _filled(counts: dict[int, int], capacity: int, slack: int) -> dict[int, int]:
+    """One bin: the longest piece, then the fullest combinations of what is left, until no piece fits."""
+    longest = max(counts)
+    bin_, left, space = {longest: 1}, counts | {longest: counts[longest] - 1}, capacity - longest
+    while more := fullest(left, space, longest, slack):
+        for n, k in more.items():
+            bin_[n], left[n], space = bin_.get(n, 0) + k, left[n] - k, space - n * k
+    return bin_
 
-    Pieces `first` to `last` of a length go `per_bin` to a sequence, one behind
-    the other from `offset` on. At most as many combinations are formed as there are
-    ways for a length to run out, so the plan does not grow with the corpus.
-    """
+
+def _plan(counts: dict[int, int], capacity: int, slack: int) -> tuple[int, list[tuple[int, int, int, int, int, int]]]:
     counts = {n: c for n, c in counts.items() if c}
     used, runs, sequence = dict.fromkeys(counts, 0), [], 0
     while counts:
-        longest = max(counts)
-        counts[longest] -= 1
-        bin_ = fullest(counts, capacity - longest, longest)
-        counts[longest] += 1
-        bin_[longest] = bin_.get(longest, 0) + 1
+        bin_ = _filled(counts, capacity, slack)
         times, offset = min(counts[n] // k for n, k in bin_.items()), 0
         for n, k in sorted(bin_.items(), reverse=True):
             runs.append((n, used[n], used[n] + times * k, sequence, k, offset))
@@ -104,7 +109,44 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
             if not counts[n]:
                 del counts[n]
         sequence += times
-    return runs
+    return sequence, runs
+
+
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer: by the total, and by pieces of which no two share a sequence with what must go beside them."""
+    lengths = sorted(counts)
+    best = -(-sum(n * c for n, c in counts.items()) // capacity)
+    for small in {n for n in lengths if 2 * n <= capacity} | {1}:
+        alone = sum(counts[n] for n in lengths if n > capacity - small)
+        halves = [(n, counts[n]) for n in lengths if capacity - small >= n and 2 * n > capacity]
+        rest = sum(n * counts[n] for n in lengths if small <= n and 2 * n <= capacity)
+        room = sum((capacity - n) * c for n, c in halves)
+        best = max(best, alone + sum(c for _, c in halves) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (length, first, last, sequence, per_bin, offset) that place every counted piece.
+
+    Pieces `first` to `last` of a length go `per_bin` to a sequence, one behind
+    the other from `offset` on. At most as many combinations are formed as there are
+    ways for a length to run out, so the plan does not grow with the corpus.
+
+    The fullest bin at every step can use up the short pieces and leave long ones
+    that pair badly. So unless it reaches the bound below which no packing gets, bins
+    are also filled with some slack allowed while long pieces alone come that
+    close, for a few shares of the capacity, and the plan with the fewest sequences stays.
+    """
+    counts = {n: c for n, c in counts.items() if c}
+    if not counts:
+        return []
+    bound, best = least_sequences(counts, capacity), None
+    for share in SLACKS:
+        found = _plan(counts, capacity, capacity // share if share else 0)
+        best = found if best is None or found[0] < best[0] else best
+        if best[0] == bound:
+            break
+    return best[1]
 
 
 def numbered(pieces: DataFrame, hist: DataFrame) -> DataFrame:
