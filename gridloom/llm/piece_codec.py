@@ -76,6 +76,7 @@ class Codec:
             if len(piece) == 1 or self.merged(piece, self.parts) == [piece]:  # a piece that merging never makes is never used
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.automaton), default=1)
         #: The longest piece that begins a piece and is not all of it.
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.automaton), None) for p in self.automaton}
         #: Whether every piece is merged after its parts, as training makes them; else neighbours are merged anew in full.
@@ -150,19 +151,22 @@ class Codec:
         return True
 
     def segmented(self, text: str) -> list[str]:
-        """The merged pieces of a text of known characters, by longest matches and backtracking."""
-        compatible, longest, size = self.compatible, self.automaton.iter_long, len(text)
+        """The merged pieces of a text of known characters, by longest matches and backtracking.
+
+        No match is longer than `longest`, so the automaton reads no further from any place, and time grows with the text.
+        """
+        compatible, match, most, size = self.compatible, self.automaton.iter_long, self.longest, len(text)
         path: list[str] = []
-        failed, place, piece = 0, 0, next(longest(text))[1]
+        failed, place, piece = bytearray((size >> 3) + 1), 0, next(match(text[:most]))[1]  # one bit a position
         while place < size:
-            while piece and (failed >> place + len(piece) & 1 or path and not compatible(path[-1], piece)):
+            while piece and (failed[place + len(piece) >> 3] >> (place + len(piece) & 7) & 1 or path and not compatible(path[-1], piece)):
                 piece = self.shorter[piece]
             if piece:
                 path.append(piece)
                 place += len(piece)
-                piece = next(longest(text, place))[1] if place < size else None
+                piece = next(match(text[place:place + most]))[1] if place < size else None
             else:
-                failed |= 1 << place
+                failed[place >> 3] |= 1 << (place & 7)
                 piece = path.pop()
                 place -= len(piece)
                 piece = self.shorter[piece]
