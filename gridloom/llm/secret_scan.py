@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import whole_row
+from gridloom.llm.shared import stored, whole_row
 from gridloom.llm.trigrams import mandatory, trigram_query
 
 
@@ -57,10 +57,15 @@ RULES = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("hosted_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Of three parts; a first part that no others follow is read as a match without its group and dropped, so no run is read twice.
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}(\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})?", group=1),
     Rule("login_url", r"://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]{3,}@"),
 )
 
+#: Spans that are folded together.
+BLOCK = 128
+#: Keys of candidates, some 100 bytes each, that are sent to every task; more meet their texts by key.
+SENT_KEYS = 100_000
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -98,6 +103,31 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return full.groupBy("key").agg(F.collect_set("kind").alias("kinds"))  # at most one entry per rule
 
 
+def _let(value: Column, use) -> Column:
+    """Evaluate `value` once and use it under a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_blocks(items: Column, passed, zero, step) -> Column:
+    """A fold over `items` that emits arrays, as the array of all it emits.
+
+    Appending copies what is there, so a single fold would take time with the
+    square of the items. Here `passed` gives the part of the state that goes from
+    block to block, for the items of one block and the state before it, and each
+    block of `BLOCK` items is folded on its own from there. `zero` makes a block's
+    first state, `step` takes (state, item); both states have a field `out`.
+    """
+    def of(listed: Column) -> Column:
+        block = lambda b: F.slice(listed, b * BLOCK + 1, F.lit(BLOCK))
+        numbers = F.sequence(F.lit(0), F.greatest((F.size(listed) + (BLOCK - 1)).cast("int") / BLOCK, F.lit(1)).cast("int") - 1)
+        first = F.array(F.lit(0))
+        heads = F.aggregate(numbers, first, lambda acc, b: F.array_append(acc, passed(block(b), F.element_at(acc, -1))))
+        return _let(heads, lambda h: F.flatten(F.transform(numbers, lambda b: F.aggregate(
+            block(b), zero(F.get(h, b), F.get(h, b + 1)), step, lambda acc: acc["out"]))))
+
+    return _let(items, of)
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule, leftmost and not overlapping, in code points.
 
@@ -107,18 +137,23 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     pattern = F.lit(rule.pattern)
     parts, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     checked = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    state = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("out"))
-    zipped = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m"), checked.alias("c"))
+    zipped = _let(found, lambda m: F.transform(F.arrays_zip(F.slice(parts, 1, F.size(m)).alias("p"), m.alias("m"), checked.alias("c")), lambda x: F.struct(
+        F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["c"]).alias("checked"))))
+
+    def passed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, at, lambda acc, x: acc + x["gap"] + x["size"])
+
+    def zero(at: Column, _: Column) -> Column:
+        return F.struct(at.alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(
-            F.length(x["c"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+            x["checked"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(zipped, state, step, lambda acc: acc["out"])).otherwise(
-        F.expr(f"CAST(array() AS {SPAN})"))
+    return F.when(text.rlike(rule.pattern), _in_blocks(zipped, passed, zero, step)).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
 
 
 def scanned(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
@@ -126,7 +161,9 @@ def scanned(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=RUL
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     base = df.select(whole_row(df).alias("row"), whole.alias("t"), text_key(F.col(f"`{doc_id}`"), whole).alias("key"))
     index = postings(df, text_key(F.col(f"`{doc_id}`"), whole), whole, vocabulary(rules))
-    marked = base.join(candidates(index, rules), "key", "left")
+    asked = stored(candidates(index, rules), "candidates")
+    few = asked.count() <= SENT_KEYS
+    marked = base.join(F.broadcast(asked) if few else asked, "key", "left")
     none = F.expr(f"CAST(array() AS {SPAN})")
     columns = []
     for rank, rule in enumerate(rules):
@@ -145,14 +182,19 @@ def listed(spans: Column) -> Column:
 def redacted(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]", rules=RULES) -> DataFrame:
     """`df` with every span of its text replaced by `mark`; overlapping spans become one. A null text stays null."""
     spans = scanned(df, doc_id, text, rules)
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
+
+    def passed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, at, lambda acc, s: F.greatest(acc, s["end"]))
+
+    def zero(at: Column, end: Column) -> Column:  # a block's own part of the text is cut out first, so that cuts in it are short
+        return F.struct(at.alias("at"), at.alias("head"), F.substring(F.col("t"), at + 1, end - at).alias("part"), F.expr("CAST(array() AS array<string>)").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("t"), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(acc["part"], acc["at"] - acc["head"] + 1, s["start"] - acc["at"])
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["head"].alias("head"), acc["part"].alias("part"), out.alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(F.col("t"), acc["at"] + 1, F.length("t"))))
+    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    clean = F.concat(F.array_join(_in_blocks(F.col("spans"), passed, zero, step), ""), F.substring(F.col("t"), last + 1, F.length("t")))
     names = [F.when(F.size("spans") > 0, clean).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns]
     return spans.select(*names)
