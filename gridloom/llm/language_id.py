@@ -45,9 +45,8 @@ LEAST_PER_LANGUAGE = 20
 REMEMBERED = 200_000
 #: Calibrated score under which a text is rejected.
 LEAST_SCORE = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
-#: The same in Spark's expressions.
-LETTER = "[\\p{L}\\p{Nl}\\p{No}]"
+#: A letter, in Spark's expressions; numbers such as one half or a Roman eight are none.
+LETTER = "\\p{L}"
 
 
 @dataclass
@@ -163,7 +162,7 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, calibrated score) of each text."""
-        split = [words_of(t) if t and _LETTER.search(t) else [] for t in texts]
+        split = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
         if not self.model.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         self._learn(set().union(*split))
