@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import chat_format, language_id, packing, piece_codec, quality_rules, secret_scan, token_counts, tokens, toxicity, trigrams
 
@@ -73,7 +74,7 @@ def brute_spans(text):
     found = []
     for rank, rule in enumerate(secret_scan.RULES):
         for m in re.finditer(rule.pattern, text or ""):
-            if len(m.group(rule.group)) >= rule.least:
+            if len(m.group(rule.group) or "") >= rule.least:
                 found.append((m.start(), rank, f"{rule.kind}:{m.start()}:{m.end()}"))
     return ",".join(x[2] for x in sorted(found))
 
@@ -92,6 +93,36 @@ def test_secret_spans_equal_brute_force(spark):
     assert sum(bool(r["s"]) for r in got) >= 10
 
 
+def test_one_reading_of_a_run_finds_the_same_web_tokens():
+    import random
+
+    rng, rule = random.Random(9), next(r for r in secret_scan.RULES if r.kind == "web_token")
+    plain = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    hits = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(["eyJ", "abcdefgh", ".", "x-_", " ", ".eyJ12345678"]) for _ in range(rng.randint(1, 14)))
+        want = [m.span() for m in re.finditer(plain, text)]
+        assert [m.span() for m in re.finditer(rule.pattern, text) if m.group(1)] == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_time_of_secrets_grows_with_their_number(spark):
+    import time
+
+    text = "password = hunter22, é AKIA" + "B" * 16 + " token=" + "0af1" * 6 + ";\n"
+    rows = [(1, text * 34_000), (2, "eyJ" * 700_000), (3, text * 300)]  # 100,000 matches of one rule and as many of others
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    started = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.scanned(df).select("row.doc_id", F.size("spans").alias("n"), secret_scan.listed("spans").alias("s")).collect()}
+    same = got[1]["s"] == brute_spans(rows[0][1])  # compared outside the assertion, which would list differences of such texts
+    assert same and got[1]["n"] > 100_000 and got[2]["n"] == 0
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
+    assert time.time() - started < 120
+    same = red[3] * 113 + red[3][:len(red[3]) // 300 * 100] == red[1] and red[2] == rows[1][1]
+    assert same and "hunter22" not in red[1]
+
+
 def test_redaction_leaves_no_secret(hostile, empty):
     out = {(r["doc_id"], r["text"]) for r in secret_scan.redacted(hostile).collect() if r["doc_id"] in (1, 10)}
     assert out == {(1, None), (10, "[secret]' [secret] [secret]")}
@@ -134,11 +165,14 @@ def test_every_language_is_learned(spark):
 
 
 def test_without_a_learned_language_documents_stay(spark):
-    docs = spark.createDataFrame([(1, "some text", None), (2, None, None), (3, "12 _ !", None), (4, "\u00bd", None), (5, "слово", None)],
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None), (3, "12 _ !", None), (4, "\u00bd \u2460 \u2167 \u00b2", None), (5, "слово", None)],
                                  "doc_id long, text string, lang string")
     model = language_id.train(language_id.sample(docs))
     kept = language_id.keep_identified(docs, model)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 5}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 5}
+    learned = language_id.train([("some words here", "en"), ("des mots ici", "fr")] * 20)
+    found = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identified(docs, learned).collect()}
+    assert found[2] == found[3] == found[4] == ("und", 0.0) and found[1][0] in ("en", "fr")
 
 
 def test_languages_of_held_out_documents(spark):
@@ -192,6 +226,20 @@ def test_pieces_of_random_texts_are_the_librarys(codec):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == codec.library.encode(text, add_bos=True, add_eos=True), text
 
 
+def test_time_of_unspaced_texts_grows_with_their_length(codec):
+    import random
+    import time
+
+    rng = random.Random(3)
+    text = "".join(rng.choice(["the", "tion", "a", "word", "er", "s", "中", "é"]) for _ in range(800_000))
+    assert len(text) > 1_500_000
+    started = time.time()
+    ids = codec.encode(text)
+    assert time.time() - started < 60
+    same = list(struct.unpack(f"<{len(ids) // 4}I", ids)) == codec.library.encode(text, add_bos=True, add_eos=True)
+    assert same
+
+
 def test_border_check_equals_merging_anew(codec):
     pieces = sorted(codec.parts)[::97]
     for a, b in itertools.product(pieces[:60], pieces[60:120]):
