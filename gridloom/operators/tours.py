@@ -20,8 +20,12 @@ from gridloom.session import cut
 METRES = 1000
 # A matrix of n stations has n * n cells in one row; 1,000 stations are 8 MB.
 MAX_STATIONS = 1000
+#: Stations of an exact tour where the caller names no number, and the most they may name.
 MAX_EXACT = 8
-MAX_WINDOW = 5
+MOST_EXACT = 13
+#: Free stations of a window at most; up to `LISTED_WINDOW` of them all orders are listed, beyond it sets are.
+MAX_WINDOW = 10
+LISTED_WINDOW = 5
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -33,21 +37,28 @@ def cell(matrix: Column, i: Column, j: Column) -> Column:
     return F.get(F.get(matrix, i), j)
 
 
-def cost_pairs(members: DataFrame, closure: DataFrame) -> DataFrame:
-    """Distances between all members of each instance: (instance_id, origin, node, km).
+def member_pairs(members: DataFrame) -> DataFrame:
+    """All ordered pairs of members of each instance: (instance_id, origin, node).
 
-    Two members with no way between them keep a row with a NULL distance. The
-    number of members is checked first, so this is at most that number squared;
-    larger networks are toured by :func:`nn_tours_by_rounds`.
+    The number of members is checked first, so this is at most that number squared;
+    larger networks are toured by :func:`nn_tours_by_rounds` and improved by
+    :func:`gridloom.operators.long_tours.reoptimize_long`.
     """
     sizes = members.groupBy("instance_id").agg(F.count("*").alias("n"))
     fitting = members.join(sizes, "instance_id").select("instance_id", F.when(
         F.col("n") <= MAX_STATIONS, F.col("name")).otherwise(
         F.raise_error(F.lit(f"an instance holds at most {MAX_STATIONS} stations"))).alias("name"))
     i, j = fitting.alias("i"), fitting.alias("j")
-    pairs = i.join(j, F.col("i.instance_id") == F.col("j.instance_id")).select(
+    return i.join(j, F.col("i.instance_id") == F.col("j.instance_id")).select(
         F.col("i.instance_id").alias("instance_id"), F.col("i.name").alias("origin"), F.col("j.name").alias("node"))
-    return pairs.join(closure.select("origin", "node", "km"), ["origin", "node"], "left").select(
+
+
+def cost_pairs(members: DataFrame, closure: DataFrame) -> DataFrame:
+    """Distances between all members of each instance: (instance_id, origin, node, km).
+
+    Two members with no way between them keep a row with a NULL distance.
+    """
+    return member_pairs(members).join(closure.select("origin", "node", "km"), ["origin", "node"], "left").select(
         "instance_id", "origin", "node", "km")
 
 
@@ -144,34 +155,67 @@ def stop_names(names: str = "names", stops: str = "stops") -> Column:
 
 
 def _orders(size: int) -> Column:
-    """All orders of `size` positions as one constant; at most 5,040 of them."""
+    """All orders of `size` positions as one constant; at most 120 of them."""
     table = [list(p) for p in permutations(range(size))]
     return F.from_json(F.lit(json.dumps(table)), "array<array<int>>")
 
 
-def exact_tours(tables: DataFrame, starts: DataFrame, largest: int = MAX_EXACT) -> DataFrame:
-    """The shortest closed tour by trying every order, for instances of any sizes up to `largest`.
+def _subset_orders(n: int) -> tuple[list[list[int]], list[list[int]]]:
+    """For every set of `n` places (a bit each): its places, ascending, and for each place the number of the set without it."""
+    places = [[k for k in range(n) if mask >> k & 1] for mask in range(1 << n)]
+    return places, [[mask & ~(1 << k) for k in held] for mask, held in enumerate(places)]
+
+
+def _constant(table: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), kind)
+
 
-    The number of orders is a factorial, so `largest` is at most eight; an instance
-    beyond it, or of a single station, raises instead of getting lost.
+def shortest_order(matrix: Column, entry: Column, free: Column, last: Column, n: int) -> Column:
+    """The shortest way from `entry` over all `n` stations of `free` to `last`: struct (m, p), p positions in `free` in order.
+
+    A subset programme: for every set of free stations and every station it may end
+    at, the best way so far, in the order of the sets' numbers, so that each set
+    finds the sets with one station less done. 2^n * n^2 steps instead of n!. Of equal ways
+    the one whose positions come first in order wins, as if all orders had been tried.
+    The programme runs from the exit backwards: the rest of a way only depends on
+    where it starts and what it has left, and the first station of the way is settled last.
     """
-    if not 2 <= largest <= MAX_EXACT:
-        raise ValueError(f"exact tours need 2 to {MAX_EXACT} stations")
-    m, size = F.col("matrix"), F.size("names")
-    at = (F.array_position("names", F.col("start")) - 1).cast("int")
-    found = starts.join(tables, "instance_id").withColumn(
-        "rest", F.array_remove(F.sequence(F.lit(0), size - 1), at)).withColumn("_at", at)
+    places, without = _subset_orders(n)
+    sets = _constant([{"places": p, "without": w} for p, w in zip(places, without)][1:], "array<struct<places:array<int>,without:array<int>>>")
+    way = "struct<m:bigint,p:array<int>>"
+    none = F.lit(None).cast(way)
+
+    def onward(done: Column, start: Column, rest: Column) -> Column:
+        """The best way from `start` over the set `rest` to `last`: `done` has, per set, the best by the place it begins at."""
+        return F.when(rest == 0, F.struct(cell(matrix, start, last).alias("m"), F.expr("CAST(array() AS array<int>)").alias("p"))).otherwise(
+            F.array_min(F.transform(F.filter(F.get(done, rest), lambda w: w.isNotNull()), lambda w: F.struct(
+                (cell(matrix, start, F.get(free, F.get(w.p, F.lit(0)))) + w.m).alias("m"), w.p.alias("p")))))
+
+    def settle(done: Column, s: Column) -> Column:
+        best = F.transform(F.arrays_zip(s.places.alias("k"), s.without.alias("rest")), lambda x: let(
+            onward(done, F.get(free, x.k), x.rest), lambda o: F.struct(o.m.alias("m"), F.concat(F.array(x.k), o.p).alias("p"))))
+        return F.array_append(done, best)
+
+    empty = F.array(F.array(none))
+    return F.aggregate(sets, empty, settle, lambda done: onward(done, entry, F.lit((1 << n) - 1)))
 
-    def length(p: Column, n: int) -> Column:
-        walk = [F.col("_at"), *[F.get("rest", F.get(p, F.lit(k))) for k in range(n - 1)], F.col("_at")]
-        return sum((cell(m, a, b) for a, b in zip(walk[1:], walk[2:])), cell(m, walk[0], walk[1]))
 
-    def shortest(n: int) -> Column:
-        return F.array_min(F.transform(_orders(n - 1), lambda p: F.struct(length(p, n).alias("m"), p.alias("p"))))
+def exact_tours(tables: DataFrame, starts: DataFrame, largest: int = MAX_EXACT) -> DataFrame:
+    """The shortest closed tour of instances of any sizes up to `largest`, by a subset programme in each row.
 
+    Time and room of a row grow with 2 to the power of its stations, so `largest` is at
+    most `MOST_EXACT`; an instance beyond it, or of a single station, raises instead of
+    getting lost. Of equal tours the first by its stations in order is taken.
+    """
+    if not 2 <= largest <= MOST_EXACT:
+        raise ValueError(f"exact tours need 2 to {MOST_EXACT} stations")
+    m, size = F.col("matrix"), F.size("names")
+    at = (F.array_position("names", F.col("start")) - 1).cast("int")
+    found = starts.join(tables, "instance_id").withColumn("_at", at).withColumn(
+        "rest", F.array_remove(F.sequence(F.lit(0), size - 1), F.col("_at")))
     best = F.raise_error(F.lit(f"an exact tour needs 2 to {largest} stations")).cast("struct<m:bigint,p:array<int>>")
     for n in range(2, largest + 1):
-        best = F.when(size == n, shortest(n)).otherwise(best)
+        best = F.when(size == n, shortest_order(m, F.col("_at"), F.col("rest"), F.col("_at"), n - 1)).otherwise(best)
     return found.withColumn("_best", best).select(
         "instance_id", "start", "names", "matrix",
         F.concat(F.array("_at"), F.transform("_best.p", lambda k: F.get(F.col("rest"), k))).alias("stops"),
@@ -196,8 +240,12 @@ def _current(matrix: Column, seats: Column, window: int) -> Column:
     return _inside(matrix, seats, [F.get(seats, F.lit(k + 1)) for k in range(window)])
 
 
-def _best(matrix: Column, seats: Column, window: int, orders: Column) -> Column:
-    """The shortest order of the free stations; of equal ones the first in the list."""
+def _best(matrix: Column, seats: Column, window: int) -> Column:
+    """The shortest order of the free stations; of equal ones the first in the list of all. Few orders are tried one by one."""
+    if window > LISTED_WINDOW:
+        return shortest_order(
+            matrix, F.get(seats, F.lit(0)), F.slice(seats, 2, window), F.get(seats, F.lit(window + 1)), window)
+    orders = _orders(window)
     return F.array_min(F.transform(orders, lambda p: F.struct(
         _inside(matrix, seats, [F.get(seats, F.get(p, F.lit(k)) + 1) for k in range(window)]).alias("m"),
         p.alias("p"))))
@@ -225,11 +273,11 @@ def circular_windows(tours: DataFrame, window: int) -> DataFrame:
 def window_scores(tours: DataFrame, window: int) -> DataFrame:
     """For every tour and offset: the length now, the best length, and the order that gives it. A tour too short raises."""
     _check_window(window)
-    stops, m, orders = F.col("stops"), F.col("matrix"), _orders(window)
+    stops, m = F.col("stops"), F.col("matrix")
 
     def score(offset: Column) -> Column:
         return let(_window(stops, offset, window), lambda seats: let(
-            _best(m, seats, window, orders), lambda best: F.struct(
+            _best(m, seats, window), lambda best: F.struct(
                 offset.alias("offset"), _current(m, seats, window).alias("now"), best.m.alias("best"),
                 F.transform(best.p, lambda k: F.get(F.col("names"), F.get(seats, k + 1))).alias("ordering"))))
 
@@ -249,7 +297,6 @@ def window_reoptimize(tours: DataFrame, window: int = 4, sweeps: int = 3, prune:
     A tour too short for the window raises.
     """
     _check_window(window)
-    orders = _orders(window)
     m, n = F.col("matrix"), F.size("stops")
     state = F.struct(
         F.col("stops").alias("stops"), F.col("stops").alias("dirty"), F.lit(False).alias("improved"),
@@ -273,7 +320,7 @@ def window_reoptimize(tours: DataFrame, window: int = 4, sweeps: int = 3, prune:
             )).otherwise(with_(
                 acc, dirty=F.array_remove(acc.dirty, F.get(seats, F.lit(0))), solved=acc.solved + 1))
 
-        return let(_best(m, seats, window, orders), apply)
+        return let(_best(m, seats, window), apply)
 
     def step(acc: Column, t: Column) -> Column:
         offset = t % n

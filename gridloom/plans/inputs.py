@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import pricing, sequence, tours
+from gridloom.operators import hubs, pricing, sequence, tours
 from gridloom.operators.paths import nearest_stations, shortest_paths
 from gridloom.session import cut
 
@@ -196,11 +196,11 @@ class Inputs:
 
     @cached_property
     def instance_distances(self) -> DataFrame:
-        """Distances between members of one instance; no member is further than over the start."""
+        """Distances between members of one instance, from hub labels; no member is further than over the start."""
         far = self.instances.groupBy("instance_id").agg(F.max("km").alias("far"))
-        sources = self.instances.join(far, "instance_id").select(
-            F.col("name").alias("origin"), (F.col("km") + F.col("far")).alias("max_km"))
-        return shortest_paths(self.grid_cut, sources, chains=False)
+        limits = self.instances.join(far, "instance_id").select("name", (F.col("km") + F.col("far")).alias("max_km"))
+        pairs = tours.member_pairs(self.instances.select("instance_id", "name")).select("origin", "node")
+        return cut(hubs.pair_distances(pairs, hubs.hub_labels(self.grid_cut, limits)))
 
     @cached_property
     def instance_costs(self) -> DataFrame:

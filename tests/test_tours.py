@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import compare as cp
 from gridloom.operators import components as cc
+from gridloom.operators import hubs
 from gridloom.operators import paths as sp
 from gridloom.operators import tours as tr
 
@@ -103,6 +104,75 @@ def test_exact_tours_match_enumeration(spark):
         assert int(r["total_km"]) == best
 
 
+def subset_best(d, start, rest, last):
+    """Length of the shortest way from start over all of rest to last, in plain Python."""
+    best = {(frozenset([k]), k): d[start, k] for k in rest}
+    for size in range(2, len(rest) + 1):
+        for group in map(frozenset, itertools.combinations(rest, size)):
+            for k in group:
+                best[group, k] = min(best[group - {k}, j] + d[j, k] for j in group - {k})
+    whole = frozenset(rest)
+    return min(best[whole, k] + d[k, last] for k in rest)
+
+
+def test_exact_tours_of_2_to_13_stations_in_one_call(spark):
+    edges = random_edges(8, 13)
+    nodes, d = all_distances(edges)
+    closure = sp.shortest_paths(frame(spark, edges), spark.createDataFrame([(n,) for n in nodes], "origin string"), chains=False)
+    members = spark.createDataFrame([(f"i{n}", name) for n in range(2, 14) for name in nodes[:n]], "instance_id string, name string")
+    starts = spark.createDataFrame([(f"i{n}", nodes[n // 2]) for n in range(2, 14)], "instance_id string, start string")
+    got = {r["instance_id"]: r for r in tr.exact_tours(tr.matrices(tr.cost_pairs(members, closure)), starts, 13).collect()}
+    for n in range(2, 14):
+        r, start = got[f"i{n}"], nodes[n // 2]
+        walk = [r["names"][k] for k in r["stops"]]
+        rest = [x for x in nodes[:n] if x != start]
+        assert walk[0] == start and sorted(walk) == nodes[:n]
+        assert int(r["total_km"]) == sum(d[a, b] for a, b in zip(walk, walk[1:] + walk[:1])) == subset_best(d, start, rest, start)
+        if n <= 8:  # of equal tours the first in order
+            orders = [(sum(d[a, b] for a, b in zip([start, *p], [*p, start])), list(p)) for p in itertools.permutations(rest)]
+            assert walk[1:] == min(orders)[1]
+
+
+def test_windows_of_more_than_five(spark):
+    edges = random_edges(9, 12)
+    nodes, d = all_distances(edges)
+    origins = spark.createDataFrame([(n,) for n in nodes], "origin string")
+    closure = sp.shortest_paths(frame(spark, edges), origins, chains=False)
+    tables = tr.matrices(tr.cost_pairs(origins.select(F.lit("i").alias("instance_id"), F.col("origin").alias("name")), closure))
+    tours = tr.nn_tours(tables, origins.limit(1).select(F.lit("i").alias("instance_id"), F.col("origin").alias("start"))).cache()
+    order = tours.select(tr.stop_names().alias("s")).first()["s"]
+    for r in tr.window_scores(tours, 7).collect():
+        seats = [order[(r["offset"] + k) % 12] for k in range(9)]
+        assert int(r["best_km"]) == subset_best(d, seats[0], seats[1:8], seats[8]) and sorted(r["ordering"]) == sorted(seats[1:8])
+        assert int(r["current_km"]) == sum(d[a, b] for a, b in zip(seats, seats[1:]))
+    better = tr.window_reoptimize(tours, 6, 20).cache()
+    assert better.first()["total_km"] <= better.first()["start_km"]
+    assert all(r["current_km"] == r["best_km"] for r in tr.window_scores(better, 6).collect())
+
+
+def test_distances_from_hub_labels(spark):
+    """Random networks, and one whose hub has half of all lines; with limits and without."""
+    star = [("hub", f"s{k:03d}", k % 7 + 1) for k in range(120)] + [(f"s{k:03d}", f"s{(k * 7 + 1) % 120:03d}", 9) for k in range(0, 120, 2)]
+    for edges in (random_edges(4, 30), star):
+        best = {}
+        for a, b, km in edges:
+            best[min(a, b), max(a, b)] = km
+        edges = [(a, b, km) for (a, b), km in best.items() if a != b]
+        net = frame(spark, [*edges, ("x", "y", 2)])
+        nodes = sorted({n for a, b, _ in edges for n in (a, b)})[:25]
+        want = {(r["origin"], r["node"]): r["km"] for r in sp.shortest_paths(
+            net, spark.createDataFrame([(n,) for n in nodes], "origin string"), chains=False).collect() if r["node"] in nodes}
+        pairs = spark.createDataFrame([(a, b) for a in [*nodes, "x"] for b in [*nodes, "y"]], "origin string, node string")
+        labels = hubs.hub_labels(net)
+        got = {(r["origin"], r["node"]): r["km"] for r in hubs.pair_distances(pairs, labels).collect()}
+        assert {k: v for k, v in got.items() if "x" not in k and "y" not in k} == want and got["x", "y"] == 2 and ("x", nodes[0]) not in got
+        limits = spark.createDataFrame([(n, 12) for n in nodes], "name string, km int").selectExpr("name", "CAST(km AS DECIMAL(18,3)) AS max_km")
+        near = {(r["origin"], r["node"]): r["km"] for r in hubs.pair_distances(pairs, hubs.hub_labels(net, limits)).collect()}
+        assert all(near[k] == v for k, v in want.items() if v <= 12)
+        if edges[0][0] == "hub" or edges[0][1] == "hub":
+            assert labels.groupBy("node").count().agg(F.max("count")).first()[0] < 10
+
+
 def test_tours_by_rounds_equal_the_folds(spark):
     edges = random_edges(3, 7)
     nodes, d = all_distances(edges)
@@ -161,7 +231,9 @@ def test_no_tour_gets_lost(spark):
 
 def test_limits_are_said(spark, lines):
     with pytest.raises(ValueError):
-        tr.exact_tours(lines, lines, 9)
+        tr.exact_tours(lines, lines, 14)
+    with pytest.raises(ValueError):
+        tr.window_scores(lines, window=11)
     with pytest.raises(ValueError):
         tr.window_reoptimize(lines, window=1)
     members = spark.createDataFrame([("i", "a"), ("i", "x")], "instance_id string, name string")
