@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import compare as cp
 from gridloom.operators import tours as tr
+from gridloom.operators.long_tours import window_scores_long as window_scores_of_long
+from gridloom.operators.sequence import with_position
 from gridloom.operators.paths import instances_checked
 from gridloom.plans.registry import query
 
@@ -269,6 +271,52 @@ def window_reoptimize_instances(t):
                          "sweeps_run", "solved", "skipped", "accepted")
 
 
+_WIDE = 6
+_WIDE_ORDERS = "[" + ", ".join(str(list(p)) for p in permutations(range(1, _WIDE + 1))) + "]"
+_STEP = "abs(xs[{a}] - xs[{b}]) + abs(ys[{a}] - ys[{b}])"
+
+
+def _walked(places: list[str]) -> str:
+    return " + ".join(_STEP.format(a=a, b=b) for a, b in zip(places, places[1:]))
+
+
+@query("window_scores_long", f"""
+WITH placed AS (
+  SELECT label, vec_id, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000) AS BIGINT) AS x, CAST(floor(CAST(embedding[2] AS DOUBLE) * 1000) AS BIGINT) AS y
+  FROM embeddings WHERE isfinite(embedding[1]) AND isfinite(embedding[2])),
+routes AS (SELECT label, count(*) AS n, list(vec_id ORDER BY vec_id) AS ids, list(x ORDER BY vec_id) AS px, list(y ORDER BY vec_id) AS py FROM placed GROUP BY 1),
+seats AS (
+  SELECT label, o, [ids[1 + (o + k) % n] FOR k IN range(0, {_WIDE + 2})] AS s, [px[1 + (o + k) % n] FOR k IN range(0, {_WIDE + 2})] AS xs,
+    [py[1 + (o + k) % n] FOR k IN range(0, {_WIDE + 2})] AS ys
+  FROM (SELECT *, unnest(range(0, n)) AS o FROM routes WHERE n >= {_WIDE + 2})),
+scored AS (
+  SELECT label, o, s, {_walked([str(k) for k in range(1, _WIDE + 3)])} AS now,
+    list_sort([{{'m': {_walked(["1", *[f"(1 + p[{k}])" for k in range(1, _WIDE + 1)], str(_WIDE + 2)])}, 'p': p}} FOR p IN {_WIDE_ORDERS}])[1] AS best
+  FROM seats)
+SELECT label AS tour_id, o AS offset_at, CAST(now AS DECIMAL(18,0)) * CAST(0.001 AS DECIMAL(4,3)) AS current_km,
+  CAST(best.m AS DECIMAL(18,0)) * CAST(0.001 AS DECIMAL(4,3)) AS best_km, array_to_string([s[1 + k] FOR k IN best.p], '>') AS ordering
+FROM scored""")
+def window_scores_long(t):
+    """Windows of six free stations on one long route per label, in the order of the ids; ways go along the axes."""
+    places = t.embeddings.selectExpr(
+        "label", "vec_id", "CAST(floor(CAST(embedding[0] AS DOUBLE) * 1000) AS BIGINT) AS x",
+        "CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000) AS BIGINT) AS y").where("x IS NOT NULL AND y IS NOT NULL")
+    long = t.embeddings.where("embedding[0] = embedding[0] AND embedding[1] = embedding[1]").select("label", "vec_id")
+    slices = long.withColumn("slice", F.expr("vec_id div 1000"))
+    stops = with_position(slices, ["label"], "slice", ["vec_id"]).where(F.col("step_count") >= _WIDE + 2).select(
+        F.col("label").alias("tour_id"), (F.col("step") - 1).alias("position"), F.col("vec_id").alias("name"))
+
+    def distances(pairs):
+        a = places.select(F.col("vec_id").alias("origin"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+        b = places.select(F.col("vec_id").alias("node"), F.col("x").alias("bx"), F.col("y").alias("by"))
+        return pairs.join(a, "origin").join(b, "node").select(
+            "origin", "node", tr.to_km(F.abs(F.col("ax") - F.col("bx")) + F.abs(F.col("ay") - F.col("by"))).alias("km"))
+
+    return window_scores_of_long(stops, distances, _WIDE).select(
+        "tour_id", F.col("offset").alias("offset_at"), "current_km", "best_km",
+        F.array_join(F.transform("ordering", lambda x: x.cast("string")), ">").alias("ordering"))
+
+
 @query("instance_status", """
 SELECT start AS instance_id, count(*) AS stations, CASE WHEN count(*) < 6 THEN 'too few stations within reach' ELSE 'ok' END AS status
 FROM grid_near GROUP BY 1""")

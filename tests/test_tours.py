@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import compare as cp
 from gridloom.operators import components as cc
 from gridloom.operators import hubs
+from gridloom.operators import long_tours as lt
 from gridloom.operators import paths as sp
 from gridloom.operators import tours as tr
 
@@ -150,6 +151,37 @@ def test_windows_of_more_than_five(spark):
     assert all(r["current_km"] == r["best_km"] for r in tr.window_scores(better, 6).collect())
 
 
+def test_windows_of_a_tour_of_3000_stations(spark):
+    """Stations on a ring of lines, visited with some neighbours swapped and some runs turned round."""
+    n, rng = 3000, random.Random(12)
+    order = list(range(n))
+    for at in range(5, n - 10, 40):
+        order[at:at + 4] = rng.sample(order[at:at + 4], 4)
+    ring = lambda a, b: min((a - b) % n, (b - a) % n)
+
+    def distances(pairs):
+        return pairs.withColumn("d", F.pmod(F.substring("origin", 2, 9).cast("int") - F.substring("node", 2, 9).cast("int"), F.lit(n))).select(
+            "origin", "node", F.least("d", n - F.col("d")).cast("decimal(18,3)").alias("km"))
+
+    stops = spark.createDataFrame([("t", k, f"s{x}") for k, x in enumerate(order)] + [("u", k, f"s{k * 3}") for k in range(9)], "tour_id string, position int, name string")
+    scores = {(r["tour_id"], r["offset"]): r for r in lt.window_scores_long(stops, distances, 7).collect()}
+    assert len(scores) == n + 9
+    for o in [*rng.sample(range(n), 25), n - 1, n - 5]:
+        seats = [order[(o + k) % n] for k in range(9)]
+        r, d = scores["t", o], {(a, b): ring(a, b) for a in seats for b in seats}
+        assert int(r["current_km"]) == sum(ring(a, b) for a, b in zip(seats, seats[1:]))
+        assert int(r["best_km"]) == subset_best(d, seats[0], seats[1:8], seats[8])
+        walk = [seats[0], *[int(x[1:]) for x in r["ordering"]], seats[8]]
+        assert sum(ring(a, b) for a, b in zip(walk, walk[1:])) == r["best_km"]
+    better = lt.reoptimize_long(stops, distances, window=4, sweeps=2).cache()
+    walk = [int(r["name"][1:]) for r in better.where("tour_id = 't'").orderBy("position").collect()]
+    assert sorted(walk) == list(range(n)) and sum(ring(a, b) for a, b in zip(walk, walk[1:] + walk[:1])) == n
+    assert better.where("tour_id = 'u'").count() == 9
+    assert lt.window_scores_long(better, distances, 4).where("best_km < current_km").isEmpty()
+    with pytest.raises(Exception, match="does not fit"):
+        lt.window_scores_long(stops.where("tour_id = 'u'"), distances, 8).collect()
+
+
 def test_distances_from_hub_labels(spark):
     """Random networks, and one whose hub has half of all lines; with limits and without."""
     star = [("hub", f"s{k:03d}", k % 7 + 1) for k in range(120)] + [(f"s{k:03d}", f"s{(k * 7 + 1) % 120:03d}", 9) for k in range(0, 120, 2)]
