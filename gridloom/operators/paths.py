@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.network import adjacency, nearest_lines
+from gridloom.operators.skew import join_hot
 from gridloom.session import cut
 
 KM = "decimal(18,3)"
@@ -92,6 +93,19 @@ def reachability(pool: DataFrame, closure: DataFrame) -> DataFrame:
     return pool.join(closure, (F.col("start") == F.col("origin")) & (F.col("name") == F.col("node")), "left_anti")
 
 
+def reachability_by_component(groups: DataFrame) -> DataFrame:
+    """(start, component, reachable, unreachable, status) for every start, from (name, component).
+
+    Members of one group reach the same stations, so one number per group says for
+    each start how many are beyond reach, without a row per start and station.
+    """
+    sizes = groups.groupBy("component").agg(F.count("*").alias("reachable"))
+    total = groups.agg(F.count("*").alias("n")).scalar()
+    told = join_hot(groups.select(F.col("name").alias("start"), "component"), sizes, ["component"])
+    return told.select("start", "component", "reachable", (total - F.col("reachable")).alias("unreachable"), F.when(
+        F.col("reachable") < total, "some stations cannot be reached").otherwise("ok").alias("status"))
+
+
 def direct_line_flag(pairs: DataFrame, edges: DataFrame, a: str = "origin", b: str = "destination") -> DataFrame:
     """Whether one line joins the two stations."""
     lines = adjacency(edges).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.lit(True).alias("_line"))

@@ -139,9 +139,17 @@ def merged_caveats(first: Column, second: Column) -> Column:
     return F.array_distinct(F.concat(first, second))
 
 
+MEASURES = ("total_energy_loss_mw", "loss_cost_per_hour_inr", "loss_cost_per_year_inr")
+
+
+def route_km(counts: DataFrame) -> DataFrame:
+    """(route_id, route_km): kilometres along the matched lines, each as often as it is crossed."""
+    km = F.sum(F.when(F.col("matched"), F.col("distance_km") * F.col("traversals")))
+    return counts.groupBy("route_id").agg(F.coalesce(km, F.lit(0)).cast("decimal(28,3)").alias("route_km"))
+
+
 def route_comparison(losses: DataFrame, group: str, label: str, first: str = "classical", second: str = "hybrid",
-                     measures: tuple[str, ...] = ("total_energy_loss_mw", "loss_cost_per_hour_inr",
-                                                  "loss_cost_per_year_inr")) -> DataFrame:
+                     measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """First minus second for each measure, and the route with the lower modelled loss.
 
     Both routes of a group meet in one grouped aggregate; there is no self-join.

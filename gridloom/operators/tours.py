@@ -393,7 +393,10 @@ def via_slice(path: Column) -> Column:
 
 
 def tour_totals(legs: DataFrame) -> DataFrame:
-    """Per tour: length, stations visited, direct legs."""
+    """Per tour: length, stations visited, direct legs, and the closed route by name, back to its start."""
+    ordered = F.array_sort(F.collect_list(F.struct("step", "origin", "destination")))
     return legs.groupBy("tour_id").agg(
         F.sum("km").alias("total_km"), F.count("*").alias("stations_visited"),
-        F.count_if(F.col("is_direct")).alias("direct_legs"))
+        F.count_if(F.col("is_direct")).alias("direct_legs"), ordered.alias("_legs")).select(
+        "tour_id", "total_km", "stations_visited", "direct_legs", F.concat(
+            F.transform("_legs", lambda leg: leg.origin), F.array(F.element_at("_legs", -1).destination)).alias("closed_route"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import components as cc
 from gridloom.operators import network as nw
 from gridloom.operators import paths as sp
+from gridloom.operators import tours as tr
 from gridloom.operators import stations as st
 from gridloom.plans.registry import query
 from gridloom.session import cut
@@ -159,11 +160,16 @@ def nearest_stations(t):
 
 
 @query("reachability_check", f"""WITH RECURSIVE {COMPONENTS}
-SELECT s.name AS start, n.name FROM (SELECT 'S' || min(s_suppkey) AS name FROM supplier) s, grid_stations n, cc x, cc y
-WHERE x.node = s.name AND y.node = n.name AND x.label <> y.label""")
+SELECT node AS start, cc.label AS component, size AS reachable, (SELECT count(*) FROM grid_stations) - size AS unreachable,
+       CASE WHEN size < (SELECT count(*) FROM grid_stations) THEN 'some stations cannot be reached' ELSE 'ok' END AS status
+FROM cc JOIN sizes ON sizes.label = cc.label""")
 def reachability_check(t):
-    """What the first supplier cannot reach."""
-    first = t.supplier.agg(F.min("s_suppkey").alias("k")).selectExpr("concat('S', k) AS start")
-    pool = t.grid_stations.withColumn("start", first.scalar())
-    closure = sp.shortest_paths(t.feeders, first.select(F.col("start").alias("origin")))
-    return sp.reachability(pool, closure).select("start", "name")
+    """Every station as a start: how many it reaches and how many it cannot."""
+    return sp.reachability_by_component(cc.connected_components(t.grid_stations, t.feeders))
+
+
+@query("unreachable_pairs", """
+SELECT instance_id, count(*) AS pairs, count(*) FILTER (km IS NULL) AS unreachable FROM inst_costs GROUP BY 1""")
+def unreachable_pairs(t):
+    """Pairs of each instance that no chain of lines joins."""
+    return tr.unreachable_pairs(t.instance_costs)

@@ -153,24 +153,22 @@ class Inputs:
 
     @cached_property
     def event_lines(self) -> DataFrame:
-        """Lines between event types: every unordered pair but one, one without a loss reading.
+        """Lines between event types that follow each other in some walk, but for one pair; one is without a loss reading.
 
-        The types, one aggregated row each, are paired inside one array; the table of
-        types is a dimension and does not grow with the events.
+        Pairs come from the walks themselves, each task's own made distinct first; the
+        totals per type, one aggregated row each, are looked up for both ends.
         """
+        pairs = self.walk_stops.where("prev_event_type IS NOT NULL").select(
+            F.least("prev_event_type", "event_type").alias("a"), F.greatest("prev_event_type", "event_type").alias("b")).distinct()
         kinds = self.events.groupBy("event_type").agg(
             F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
-        listed = kinds.agg(F.array_sort(F.collect_list(F.struct("event_type", "n", "v"))).alias("k"))
-        pairs = F.flatten(F.transform("k", lambda l, i: F.transform(
-            F.slice("k", i + 2, F.size("k")), lambda r: F.struct(l.alias("l"), r.alias("r")))))
+        low = kinds.select(F.col("event_type").alias("a"), F.col("n").alias("low_n"), F.col("v").alias("low_v"))
+        high = kinds.select(F.col("event_type").alias("b"), F.col("n").alias("high_n"), F.col("v").alias("high_v"))
         return (
-            listed.select(F.inline_outer(pairs))
-            .where("NOT (l.event_type = 'error' AND r.event_type = 'signup')")
+            pairs.where("NOT (a = 'error' AND b = 'signup')").join(low, "a").join(high, "b")
             .selectExpr(
-                "l.event_type AS a", "r.event_type AS b",
-                "CAST(l.n + r.n AS DECIMAL(18,3)) AS distance_km",
-                "CASE WHEN NOT (l.event_type = 'click' AND r.event_type = 'view') "
-                "THEN CAST(l.v + r.v AS DECIMAL(18,4)) END AS energy_loss_mw")
+                "a", "b", "CAST(low_n + high_n AS DECIMAL(18,3)) AS distance_km",
+                "CASE WHEN NOT (a = 'click' AND b = 'view') THEN CAST(low_v + high_v AS DECIMAL(18,4)) END AS energy_loss_mw")
         )
 
     @cached_property
@@ -306,8 +304,9 @@ class Inputs:
 
     @cached_property
     def questions(self) -> DataFrame:
-        """Planted benchmark passages and what users asked in conversations."""
+        """Planted benchmark passages, the same spelled backwards as questions off the topic, and what users asked in conversations."""
         return self.benchmark.selectExpr("concat('b', item_id) AS qid", "text AS question").union(
+            self.benchmark.selectExpr("concat('o', item_id) AS qid", "reverse(text) AS question")).union(
             self.conversations.where("role = 'user'").selectExpr(
                 "concat('c', conv_id, '.', turn) AS qid", "text AS question"))
 

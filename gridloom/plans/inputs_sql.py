@@ -337,6 +337,8 @@ FROM md_pieces"""
 CTES["questions"] = """
 SELECT 'b' || item_id AS qid, text AS question FROM benchmark
 UNION ALL
+SELECT 'o' || item_id, reverse(text) FROM benchmark
+UNION ALL
 SELECT 'c' || conv_id || '.' || turn, text FROM conversations WHERE role = 'user'"""
 
 CTES["points"] = """

@@ -25,14 +25,14 @@ def route_to_lines(t):
 
 @query("tour_to_lines", """
 SELECT tour_id AS route_id, step, CAST(h - 1 AS INTEGER) AS hop, path[h] AS origin, path[h + 1] AS destination,
-       n.distance_km, n.energy_loss_mw
+       n.distance_km, n.energy_loss_mw, n.a IS NOT NULL AS matched
 FROM (SELECT *, unnest(range(1, len(path))) AS h FROM net_legs) l
-JOIN net n ON n.a = least(path[h], path[h + 1]) AND n.b = greatest(path[h], path[h + 1])""")
+LEFT JOIN (SELECT * FROM net WHERE b <> 'NATION_5') n ON n.a = least(path[h], path[h + 1]) AND n.b = greatest(path[h], path[h + 1])""")
 def tour_to_lines(t):
-    """Tours run through other stations, so a leg may cross several lines."""
+    """Tours run through other stations, so a leg may cross several lines; hops over a line that is not surveyed are kept as unmatched."""
     legs = t.net_legs.withColumnRenamed("tour_id", "route_id")
-    return pr.route_to_lines(legs, t.net_cut.select("a", "b", "distance_km", "energy_loss_mw")).where("matched").drop(
-        "a", "b", "has_path", "matched")
+    surveyed = t.net_cut.where("b <> 'NATION_5'").select("a", "b", "distance_km", "energy_loss_mw")
+    return pr.route_to_lines(legs, surveyed).drop("a", "b", "has_path")
 
 
 @query("unmatched_steps", f"""
@@ -89,10 +89,12 @@ def route_caveats(t):
 
 HALF_LOSS = """
 half_loss AS (
-  SELECT user_id, label, CAST(coalesce(sum(energy_loss_mw) FILTER (matched), 0) AS DECIMAL(28,4)) AS loss
+  SELECT user_id, label, CAST(coalesce(sum(energy_loss_mw) FILTER (matched), 0) AS DECIMAL(28,4)) AS loss,
+    CAST(coalesce(sum(distance_km * traversals) FILTER (matched), 0) AS DECIMAL(28,3)) AS km
   FROM half_counts GROUP BY 1, 2),
 both_halves AS (
-  SELECT user_id, max(loss) FILTER (label = 'classical') AS c, max(loss) FILTER (label = 'hybrid') AS h
+  SELECT user_id, max(loss) FILTER (label = 'classical') AS c, max(loss) FILTER (label = 'hybrid') AS h,
+    CAST(max(km) FILTER (label = 'classical') - max(km) FILTER (label = 'hybrid') AS DECIMAL(29,3)) AS km
   FROM half_loss GROUP BY 1)"""
 
 
@@ -108,11 +110,13 @@ SELECT user_id, CAST(c - h AS DECIMAL(29,4)) AS total_energy_loss_mw_difference,
        CAST(CAST(CAST(c * 6600 AS DECIMAL(30,4)) * 8760 AS DECIMAL(34,4))
           - CAST(CAST(h * 6600 AS DECIMAL(30,4)) * 8760 AS DECIMAL(34,4)) AS DECIMAL(35,4))
          AS loss_cost_per_year_inr_difference,
+       km AS route_km_difference,
        CASE WHEN c = h THEN 'tie' WHEN c > h THEN 'hybrid' WHEN c < h THEN 'classical' END AS lower_loss_route
 FROM both_halves""")
 def route_comparison(t):
-    """Each user's first half against the second."""
-    return pr.route_comparison(half_losses(t), "user_id", "label")
+    """Each user's first half against the second, kilometres along the lines included."""
+    priced = half_losses(t).join(pr.route_km(t.half_counts), "route_id")
+    return pr.route_comparison(priced, "user_id", "label", measures=(*pr.MEASURES, "route_km"))
 
 
 @query("route_membership", """

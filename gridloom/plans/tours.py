@@ -115,10 +115,11 @@ def segment_length(t):
 
 @query("tour_totals", """
 SELECT tour_id, CAST(sum(km) AS DECIMAL(28,3)) AS total_km, count(*) AS stations_visited,
-       count(*) FILTER (is_direct) AS direct_legs
+       count(*) FILTER (is_direct) AS direct_legs,
+       string_agg(origin, '>' ORDER BY step) || '>' || max_by(destination, step) AS closed_route
 FROM net_legs GROUP BY 1""")
 def tour_totals(t):
-    return tr.tour_totals(t.net_legs)
+    return tr.tour_totals(t.net_legs).withColumn("closed_route", F.array_join("closed_route", ">"))
 
 
 @query("physical_path", """
