@@ -2,9 +2,10 @@
 
 Voters are lexicon entries (words and word openings that a bounded sample of
 labelled texts ties to toxic ones) and patterns over them. The label model takes
-the voters and the given labels as noisy votes on a hidden class, estimates by
-expectation maximisation how each voter votes under either class, and discounts
-voters whose errors go together. A logistic regression then learns the posterior
+the voters and the given labels as noisy votes on a hidden class, and estimates by
+expectation maximisation how each voter votes under either class; voters that say much
+about each other beyond the class form the pairs of a forest, each a factor of the same
+likelihood, so a voter that repeats another adds nothing. A logistic regression then learns the posterior
 from the voters' features alone, and scores every text of the corpus.
 
 Defined results
@@ -38,9 +39,11 @@ SAMPLE_PER_CLASS = 3000
 OPENINGS = (4, 5, 6)
 MOST_TERMS = 300
 LEAST_DOCS = 3
-LEAST_EVIDENCE = 2.5
-#: Correlations of voters' residuals under this are taken for chance.
-LEAST_CORRELATION = 0.3
+LEAST_EVIDENCE = 3.2
+#: Nats a text that two voters have to say about each other, beyond the class, to be modelled as a pair.
+LEAST_INFORMATION = 0.01
+#: Share of a voter's information that another one has, from which it is a near repeat of it.
+NEAR_REPEAT = 0.8
 THRESHOLD = 0.7
 REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -102,48 +105,142 @@ class Model:
 
 
 def mined_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words and openings whose presence speaks for the toxic class: log odds over their own uncertainty."""
-    counts = {0: Counter(), 1: Counter()}
-    for text, label in zip(texts, toxic):
-        counts[int(label)].update({k for w in set(_WORD.findall(text.lower())) for k in keys_of(w)})
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    """Words and openings whose presence speaks for the toxic class, by log odds, and beyond what chance gives.
+
+    Of all terms that were looked at, less than one should come this far by chance:
+    the bound on the chance of so large a toxic share among a term's texts is
+    compared with one over the number of terms. Repeated texts count once.
+    """
+    counts, once = {0: Counter(), 1: Counter()}, {t: int(y) for t, y in zip(texts, toxic)}
+    for text, label in once.items():
+        counts[label].update({k for w in set(_WORD.findall(text.lower())) for k in keys_of(w)})
+    n1 = sum(once.values())
+    n0, share, tested = len(once) - n1, n1 / len(once), len(counts[0].keys() | counts[1].keys())
     found = []
     for term, c1 in counts[1].items():
-        if c1 < LEAST_DOCS:
-            continue
         c0 = counts[0][term]
+        seen = c1 / (c1 + c0)
+        if c1 < LEAST_DOCS or seen <= share or share in (0, 1):
+            continue
         cells = np.array([c1, n1 - c1, c0, n0 - c0]) + 0.5
         odds = np.log(cells[0] * cells[3] / (cells[1] * cells[2]))
-        if odds >= LEAST_EVIDENCE and odds / np.sqrt((1 / cells).sum()) >= 2:
+        surprise = (c1 + c0) * (seen * np.log(seen / share) + ((1 - seen) * np.log((1 - seen) / (1 - share)) if c0 else 0))
+        if odds >= LEAST_EVIDENCE and surprise >= np.log(tested):
             found.append((-odds * c1, term))
     return [term for _, term in sorted(found)[:MOST_TERMS]]
 
 
-def posterior(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Chance of the toxic class per text, under a model of noisy voters of which the given label is one.
+@dataclass
+class LabelModel:
+    """A hidden class and noisy voters on it; votes are -1, 0 or 1, columns of tables in that order.
 
-    A voter's table holds how often it votes each way under either class. Voters
-    whose residuals correlate share their say: a voter's weight is one over one
-    plus the sum of its correlations with the others.
+    tables[y, v, a] is the chance that voter v votes a under class y. A voter with a
+    parent has pairs[y, v, p, a] in its stead: the chance of a where its parent votes p.
+    So what two correlated voters say together is a factor of the same likelihood.
     """
+
+    share: float
+    tables: np.ndarray
+    parents: np.ndarray
+    pairs: np.ndarray
+
+    def chances(self, votes: np.ndarray) -> np.ndarray:
+        """Posterior chance of class 1 for each row of votes."""
+        at, voters = votes.astype(int) + 1, np.arange(votes.shape[1])
+        with_parent = self.parents >= 0
+        logs = np.log(self.tables[1] / self.tables[0])[voters, at]
+        joint = np.log(self.pairs[1] / self.pairs[0])
+        logs[:, with_parent] = joint[voters[with_parent], at[:, self.parents[with_parent]], at[:, with_parent]]
+        logit = np.log(self.share / (1 - self.share)) + logs.sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+    def accuracies(self) -> np.ndarray:
+        """How often each voter is right where it votes."""
+        right = self.share * self.tables[1, :, 2] + (1 - self.share) * self.tables[0, :, 0]
+        voted = self.share * (1 - self.tables[1, :, 1]) + (1 - self.share) * (1 - self.tables[0, :, 1])
+        return right / voted
+
+
+def _fitted(votes: np.ndarray, chance: np.ndarray, parents: np.ndarray) -> LabelModel:
+    """The most likely tables for given posteriors, with a little smoothing towards the average vote and the voter's own table."""
+    shown = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    classes = np.stack([1 - chance, chance])
+    average = shown.mean(axis=0) + 0.01
+    tables = np.einsum("yn,nva->yva", classes, shown) + average / average.sum(axis=1, keepdims=True)
+    tables /= tables.sum(axis=2, keepdims=True)
+    pairs = np.full((2, votes.shape[1], 3, 3), 1 / 3)
+    for v in np.flatnonzero(parents >= 0):
+        pairs[:, v] = np.einsum("yn,np,na->ypa", classes, shown[:, parents[v]], shown[:, v]) + tables[:, v][:, None, :]
+        pairs[:, v] /= pairs[:, v].sum(axis=2, keepdims=True)
+    return LabelModel(float(np.clip(chance.mean(), 0.01, 0.99)), tables, parents, pairs)
+
+
+def _told(votes: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """[v, w]: nats a text that voters v and w say about each other once the class is known; on the diagonal, what v says at all."""
+    rows, n = votes.shape
+    flat = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float).reshape(rows, 3 * n)
+    said = np.zeros((n, n))
+    for q in (1 - chance, chance):
+        both = ((flat * q[:, None]).T @ flat / max(q.sum(), 1e-9)).reshape(n, 3, n, 3).transpose(0, 2, 1, 3)
+        alone = np.einsum("vvaa->va", both)
+        expected = alone[:, None, :, None] * alone[None, :, None, :]
+        said += q.sum() / rows * np.where(both > 0, both * np.log(np.maximum(both, 1e-12) / np.maximum(expected, 1e-12)), 0).sum(axis=(2, 3))
+    return said
+
+
+def forest(strength: np.ndarray, least: float) -> np.ndarray:
+    """The parent of each voter, -1 for none, in the strongest forest of pairs; a pair has to reach `least`.
+
+    Pairs are taken from the strongest on unless they close a circle. The lowest
+    voter of each tree is its root.
+    """
+    n = len(strength)
+    group, links = list(range(n)), [[] for _ in range(n)]
+    for a, b in sorted(np.argwhere(np.triu(strength, 1) >= least).tolist(), key=lambda ab: (-strength[ab[0], ab[1]], ab)):
+        if group[a] != group[b]:
+            links[a].append(b)
+            links[b].append(a)
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    parents, seen = np.full(n, -1), set()
+    for root in range(n):
+        queue = [root] if root not in seen else []
+        seen.update(queue)
+        while queue:
+            at = queue.pop()
+            for child in links[at]:
+                if child not in seen:
+                    parents[child] = at
+                    seen.add(child)
+                    queue.append(child)
+    return parents
+
+
+def label_model(votes: np.ndarray, rounds: int = 15) -> LabelModel:
+    """Fit by expectation maximisation from the majority of the votes, in two stages.
+
+    At first only voters that nearly repeat each other are pairs, and count once in
+    the majority: on their own they would agree so often that the hidden class became
+    theirs. With the class found, pairs are what it leaves unexplained.
+    """
+    whole = _told(votes, np.zeros(len(votes)))
+    least = np.minimum.outer(np.diag(whole), np.diag(whole))
+    parents = forest(whole / np.maximum(least, 1e-9), NEAR_REPEAT)
+    chance = 0.5 + 0.4 * np.sign(votes[:, parents < 0].sum(axis=1))
+    model = _fitted(votes, chance, parents)
+    for stage in range(2):
+        for _ in range(rounds):
+            chance = model.chances(votes)
+            model = _fitted(votes, chance, model.parents)
+        if stage == 0:
+            model = _fitted(votes, chance, forest(_told(votes, chance), LEAST_INFORMATION))
+    return model
+
+
+def posterior(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Chance of the toxic class per text. The given label is one voter among all, and as fallible as its votes turn out to be."""
     every = np.column_stack([labels * 2 - 1, votes])
-    shown = np.stack([every == v for v in (-1, 0, 1)]).astype(float)
-    chance = 0.05 + 0.9 * labels
-    for _ in range(rounds):
-        share = np.clip(chance.mean(), 0.01, 0.99)
-        tables = [(shown * q[None, :, None]).sum(axis=1) + 0.1 for q in (1 - chance, chance)]
-        no, yes = (t / t.sum(axis=0) for t in tables)
-        means = [(t[2] - t[0]) for t in (no, yes)]
-        residual = every - np.outer(1 - chance, means[0]) - np.outer(chance, means[1])
-        residual /= np.sqrt((residual ** 2).mean(axis=0)) + 1e-9
-        together = np.abs(residual.T @ residual) / len(residual)
-        np.fill_diagonal(together, 0)
-        weight = 1 / (1 + np.where(together > LEAST_CORRELATION, together, 0).sum(axis=0))
-        weight[0] = 1  # the given label is no lexicon entry and shares nothing with them
-        ratio = np.log(yes / no) * weight
-        logit = np.log(share / (1 - share)) + np.einsum("vnm,vm->n", shown, ratio)
-        chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return chance
+    return label_model(every).chances(every)
 
 
 def classifier(votes: np.ndarray, chance: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, float]:
