@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import math
 import re
 import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,62 @@ def test_toxic_terms_are_found_on_held_out_documents(spark):
     assert sum(p for y, p in caught if not y) < 0.01 * len(caught)
 
 
+def synthetic_votes(rows=6000, seed=4):
+    """Votes of voters with known accuracies on a known class; the last two repeat the first but for a few votes."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(rows) < 0.4
+    right, speaks = np.array([0.9, 0.8, 0.75, 0.85, 0.7]), np.array([1.0, 0.6, 0.8, 0.5, 0.9])
+    hit = rng.random((rows, 5)) < right
+    votes = np.where(rng.random((rows, 5)) < speaks, np.where(hit == truth[:, None], 1, -1), 0)
+    repeats = [np.where(rng.random(rows) < 0.97, votes[:, 4], 0) for _ in range(2)]
+    return truth, np.column_stack([votes, *repeats]), np.append(right, [0.7, 0.7])
+
+
+def test_label_model_recovers_accuracies_and_sees_through_repeats():
+    truth, votes, right = synthetic_votes()
+    model = toxicity.label_model(votes)
+    assert np.abs(model.accuracies() - right).max() < 0.05
+    assert {tuple(sorted((v, int(model.parents[v])))) for v in range(7) if model.parents[v] >= 0} <= {(4, 5), (4, 6), (5, 6)}
+    assert sum(model.parents >= 0) == 2
+    alone = toxicity.label_model(votes[:, :5])
+    assert np.abs(model.chances(votes) - alone.chances(votes[:, :5])).mean() < 0.02
+    assert ((model.chances(votes) > 0.5) == truth).mean() > ((votes.sum(axis=1) > 0) == truth).mean()
+
+
+def test_posteriors_and_scores_equal_plain_recomputation(spark, hostile):
+    _, votes, _ = synthetic_votes(400)
+    model = toxicity.label_model(votes, rounds=5)
+    for row, chance in zip(votes[:60].tolist(), model.chances(votes[:60])):
+        joint = []
+        for y, prior in ((0, 1 - model.share), (1, model.share)):
+            for v, vote in enumerate(row):
+                up = model.parents[v]
+                prior *= model.tables[y, v, vote + 1] if up < 0 else model.pairs[y, v, row[up] + 1, vote + 1]
+            joint.append(prior)
+        assert abs(joint[1] / sum(joint) - chance) < 1e-9
+    fitted = toxicity.train([("you moron " + GOOD, 1), (GOOD, 0), ("such idiots " + GOOD, 1)] * 15)
+    voters = toxicity.Voters(fitted.terms)
+    for r in toxicity.scored(hostile, fitted).collect():
+        total = fitted.bias + sum(float(w) * voters.votes(r["row"]["text"]).get(k, 0) for k, w in enumerate(fitted.weights))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-9 and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_languages_equal_plain_recomputation(spark, hostile):
+    model = language_id.train([("some words here are plain", "en"), ("des mots ici sont simples", "fr"), ("unas palabras son claras", "es")] * 12)
+    for r in language_id.identified(hostile, model).collect():
+        text = r["row"]["text"]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        words = language_id.words_of(text)
+        buckets, _ = language_id.grams(words)
+        mean = np.array([sum(float(model.table[b, k]) for b in buckets) / len(buckets) for k in range(model.table.shape[1])])
+        logits = ((mean if model.layer is None else mean @ model.layer) + model.bias) / model.temperature
+        shares = [math.exp(x - max(logits)) for x in logits]
+        best = max(range(len(shares)), key=lambda k: shares[k])
+        assert r["lang_pred"] == model.languages[best] and abs(r["score"] - shares[best] / sum(shares)) < 1e-6
+
+
 def test_toxicity_of_hostile_rows(hostile, empty):
     model = toxicity.train([("you moron " + GOOD, 1), (GOOD, 0)] * 20)
     out = toxicity.scored(hostile, model).collect()
