@@ -12,6 +12,7 @@ from gridloom.operators.long_tours import window_scores_long as window_scores_of
 from gridloom.operators.sequence import with_position
 from gridloom.operators.paths import instances_checked
 from gridloom.plans.registry import query
+from gridloom.session import cut
 
 
 def named(tours):
@@ -150,21 +151,69 @@ def visited_so_far(t):
         "tour_id", "step", (F.col("upto") - F.col("fresh")).alias("visited"))
 
 
-@query("tour_validation", """
-SELECT tour_id, true AS same_stations, len(stops) = len(list_distinct(stops)) AS none_repeated,
-       stops[1] = start AS right_start, true AS closes, legs_real, abs(total_km - way) < 0.000001 AS total_matches,
-       true AS valid
-FROM net_orders JOIN (
-  SELECT tour_id, sum(km) AS way, bool_and(len(path) >= 2 AND path[1] = origin AND path[len(path)] = destination) AS legs_real
-  FROM net_legs GROUP BY 1) USING (tour_id)""")
+#: Every tour also in versions that a check has to turn away: a stop missing, a stop twice, turned by one place, a wrong
+#: total and a wrong leg, the way back missing, a leg without its chain.
+_BROKEN = """
+variants AS (
+  SELECT tour_id || kind AS tour_id, kind, start, total_km + CASE WHEN kind = '-costly' THEN 1 ELSE 0 END AS total_km,
+    CASE kind WHEN '-short' THEN stops[:len(stops) - 1] WHEN '-twice' THEN list_append(stops[:len(stops) - 1], stops[2])
+      WHEN '-turned' THEN list_append(stops[2:], stops[1]) ELSE stops END AS stops
+  FROM net_orders, (VALUES (''), ('-short'), ('-twice'), ('-turned'), ('-costly'), ('-open'), ('-cut')) v(kind)),
+variant_legs AS (
+  SELECT tour_id, step, l.origin, l.destination, c.km + CASE WHEN kind = '-costly' AND step = 1 THEN 1 ELSE 0 END AS km, c.km AS way,
+    CASE WHEN kind = '-cut' AND step = 1 THEN [l.origin] ELSE path END AS path
+  FROM (SELECT tour_id, kind, len(stops) AS n, unnest(range(1, len(stops) + 1)) AS step, unnest(stops) AS origin,
+               unnest(list_append(stops[2:], stops[1])) AS destination FROM variants) l
+  LEFT JOIN net_closure c ON c.origin = l.origin AND c.node = l.destination
+  WHERE NOT (kind = '-open' AND step = n)),
+leg_facts AS (
+  SELECT tour_id, sum(way) AS way, max_by(destination, step) AS last, count(*) AS legs,
+    bool_and(km IS NOT NULL AND len(path) >= 2 AND path[1] = origin AND path[len(path)] = destination) AS legs_real,
+    bool_and(coalesce(km = way, false)) AS costs_agree
+  FROM variant_legs GROUP BY 1),
+everyone AS (SELECT list(n_name ORDER BY n_name) AS names FROM nation)"""
+
+
+def broken_orders(t):
+    """The nation tours and their broken versions: (tour_id, kind, start, stops, total_km)."""
+    n, stops = F.size("stops"), F.col("stops")
+    but_last = F.slice(stops, F.lit(1), n - 1)
+    made = {
+        "": stops, "-short": but_last, "-twice": F.array_append(but_last, F.get(stops, F.lit(1))),
+        "-turned": F.array_append(F.slice(stops, F.lit(2), n - 1), F.get(stops, F.lit(0))), "-costly": stops, "-open": stops, "-cut": stops}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), s.alias("stops")) for k, s in made.items()])
+    return t.net_orders.select("tour_id", "start", "total_km", F.inline(kinds)).select(
+        F.concat("tour_id", "kind").alias("tour_id"), "kind", "start", "stops",
+        (F.col("total_km") + F.when(F.col("kind") == "-costly", 1).otherwise(0)).alias("total_km"))
+
+
+def broken_legs(t, orders):
+    """Their travelled legs."""
+    legs = tr.travelled_legs(tr.tour_legs(orders), t.net_closure, t.net_cut).join(orders.select("tour_id", "kind", F.size("stops").alias("n")), "tour_id")
+    first = F.col("step") == 1
+    return legs.where("NOT (kind = '-open' AND step = n)").withColumn(
+        "km", F.col("km") + F.when((F.col("kind") == "-costly") & first, 1).otherwise(0)).withColumn(
+        "path", F.when((F.col("kind") == "-cut") & first, F.array("origin")).otherwise(F.col("path"))).drop("kind", "n")
+
+
+@query("tour_validation", f"""WITH {_BROKEN}
+SELECT *, same_stations AND none_repeated AND right_start AND closes AND legs_real AND total_matches AS valid
+FROM (SELECT tour_id, list_sort(list_distinct(stops)) = names AS same_stations, len(stops) = len(list_distinct(stops)) AS none_repeated,
+             stops[1] = start AS right_start, last = start AND legs = len(stops) AS closes, legs_real,
+             abs(total_km - way) < 0.000001 AS total_matches
+      FROM variants JOIN leg_facts USING (tour_id), everyone)""")
 def tour_validation(t):
-    pool = t.net_tours.select(F.col("start").alias("tour_id"), F.explode("names").alias("name"))
-    return cp.tour_validation(t.net_orders, t.net_legs, pool, t.net_closure)
+    """Every tour and every broken version of it."""
+    orders = cut(broken_orders(t))
+    pool = orders.select("tour_id", "start").join(
+        t.net_tours.select("start", F.explode("names").alias("name")), "start").select("tour_id", "name")
+    return cp.tour_validation(orders, broken_legs(t, orders), pool, t.net_closure)
 
 
-@query("leg_cost_check", "SELECT tour_id, bool_and(km IS NOT NULL) AS costs_agree FROM net_legs GROUP BY 1")
+@query("leg_cost_check", f"WITH {_BROKEN} SELECT tour_id, costs_agree FROM leg_facts")
 def leg_cost_check(t):
-    return cp.leg_cost_check(t.net_legs, t.net_closure)
+    """The legs of every tour, also of one with a wrong leg, against the network."""
+    return cp.leg_cost_check(broken_legs(t, broken_orders(t)), t.net_closure)
 
 
 @query("circular_window", """
@@ -357,21 +406,27 @@ def optimality_gap(t):
     return cp.optimality_gap(lengths)
 
 
-@query("same_problem_checks", """
-SELECT tour_id, true AS same_stations, true AS same_start, true AS same_costs, true AS both_close FROM net_orders""")
+@query("same_problem_checks", f"""WITH {_BROKEN}
+SELECT tour_id, list_sort(stops) = names AS same_stations,
+       CASE WHEN kind = '-turned' THEN stops[1] = start ELSE true END AS same_start, costs_agree AS same_costs,
+       last = CASE WHEN kind = '-turned' THEN stops[1] ELSE start END AS both_close
+FROM variants JOIN leg_facts USING (tour_id), everyone""")
 def same_problem_checks(t):
-    """The first tours against the improved ones."""
-    better = tr.window_reoptimize(t.net_tours, window=3, sweeps=1).select(
-        F.col("start").alias("tour_id"), "start", tr.stop_names().alias("stops"))
-    legs = tr.travelled_legs(tr.tour_legs(better), t.net_closure, t.net_cut)
+    """The first tours and their broken versions, a turned one with a start of its own, against the improved ones, which keep station set and start."""
+    orders = cut(broken_orders(t).withColumn("own_start", F.when(F.col("kind") == "-turned", F.get("stops", F.lit(0))).otherwise(F.col("start"))))
+    first_legs = broken_legs(t, orders.drop("own_start"))
+    better = tr.window_reoptimize(t.net_tours, window=3, sweeps=1).select("start", tr.stop_names().alias("stops"))
+    second = cut(orders.select("tour_id", "start").join(better, "start"))
+    legs = tr.travelled_legs(tr.tour_legs(second), t.net_closure, t.net_cut)
 
     def closing(orders, steps):
         last = steps.groupBy("tour_id").agg(F.max_by("destination", "step").alias("last"))
         return orders.join(last, "tour_id").withColumn("closes", F.col("last") == F.col("start"))
 
+    first = orders.select("tour_id", F.col("own_start").alias("start"), "stops")
     return cp.same_problem_checks(
-        closing(t.net_orders, t.net_legs), closing(better, legs),
-        cp.leg_cost_check(t.net_legs, t.net_closure), cp.leg_cost_check(legs, t.net_closure))
+        closing(first, first_legs), closing(second, legs),
+        cp.leg_cost_check(first_legs, t.net_closure), cp.leg_cost_check(legs, t.net_closure))
 
 
 @query("set_equality", """
