@@ -228,6 +228,64 @@ def clean_connections(t):
         "row_number", "source", "destination", "line_type", "distance_km", "voltage_kv", "loss_percent")
 
 
+#: What is wrong with the folder of some nations; all others are as they should be.
+_FAULTS = {"NATION_1": "header", "NATION_2": "rows", "NATION_3": "files", "NATION_4": "folder", "NATION_5": "stations"}
+_FAULT = "CASE destination " + " ".join(f"WHEN '{n}' THEN '{f}'" for n, f in _FAULTS.items()) + " ELSE 'none' END"
+
+
+def _status_sql(name: str) -> str:
+    return f"""
+WITH rows_of AS (SELECT destination AS folder, {_FAULT} AS fault, count(*) AS n, count(DISTINCT l_orderkey % 2) AS parts
+                 FROM (SELECT destination, CAST(split_part(row_number, '-', 1) AS BIGINT) AS l_orderkey FROM survey) GROUP BY 1, 2),
+told AS (
+  SELECT n_name AS folder, CASE WHEN r.folder IS NULL OR fault = 'folder' THEN 0 WHEN fault = 'files' THEN parts ELSE 1 END AS files,
+         CASE WHEN r.folder IS NULL OR fault IN ('folder', 'rows') THEN 0 ELSE n END AS rows, fault
+  FROM nation LEFT JOIN rows_of r ON r.folder = n_name)
+SELECT folder, files, CAST(rows AS BIGINT) AS rows,
+       CASE WHEN files = 0 THEN 'no .csv file found' WHEN files > 1 THEN 'multiple CSV files'
+            WHEN fault = 'header' THEN 'missing required column(s): Distance_km' WHEN rows = 0 THEN 'contains no data rows'
+            WHEN fault = 'stations' THEN 'no usable station' ELSE 'ok' END AS status
+FROM told {name}"""
+
+
+def folders(t):
+    """The survey written as one CSV folder per destination, some with a fault, and what a load of each would say."""
+    path = scratch_path(t.spark, "folders")
+    rows = t.survey.selectExpr(
+        "destination AS folder", f"{_FAULT} AS fault", "CAST(split_part(row_number, '-', 1) AS BIGINT) % 2 AS odd",
+        "source AS Source", "destination AS Destination", "distance_km AS Distance_km")
+    kept = rows.withColumn("part", F.when(F.col("fault") == "files", F.col("odd")).otherwise(F.lit(0))).repartition("folder", "part")
+
+    def written(df, header):
+        df.write.mode("append").option("header", header).partitionBy("folder", "part").csv(path)
+
+    blank = F.when(F.col("fault") != "stations", F.col("Source")), F.when(F.col("fault") != "stations", F.col("Destination"))
+    written(kept.where("fault IN ('files', 'stations', 'none')").select("folder", "part", blank[0].alias(" Source "), blank[1].alias("Destination"), "Distance_km"), True)
+    written(kept.where("fault = 'header'").select("folder", "part", "Source", "Destination"), True)
+    written(kept.where("fault = 'rows'").select("folder", "part").distinct().select(
+        "folder", "part", F.lit("Source").alias("a"), F.lit("Destination").alias("b"), F.lit("Distance_km").alias("c")), False)
+    scan = t.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    return files.folder_status(scan, t.nation.select(F.col("n_name").alias("folder")), F.regexp_extract("file", "folder=([^/]+)", 1))
+
+
+@query("single_file_source", _status_sql("WHERE files <> 1"))
+def single_file_source(t):
+    """The folders that have no file or several."""
+    return folders(t).where("files <> 1")
+
+
+@query("required_columns", _status_sql("WHERE files = 1 AND fault IN ('header', 'none')"))
+def required_columns(t):
+    """The folders whose one file lacks a column, and those that are in order."""
+    return folders(t).where("files = 1 AND (status LIKE 'missing%' OR status = 'ok')")
+
+
+@query("empty_input", _status_sql("WHERE files = 1 AND fault IN ('rows', 'stations')"))
+def empty_input(t):
+    """The folders whose file has no row, or no row that names a station."""
+    return folders(t).where("status IN ('contains no data rows', 'no usable station')")
+
+
 @query("row_provenance", "SELECT count(*) AS rows, 0 AS repeated, 0 AS gaps, true AS starts_at_two FROM survey")
 def row_provenance(t):
     """Every row of every file has its own number, from two on without a gap."""
