@@ -13,17 +13,6 @@ def by_column(column: str, descending: bool = False) -> Column:
     return F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
 
 
-def sorted_page(df: DataFrame, column: str, tie: str, descending: bool, size: int) -> DataFrame:
-    """One page of a sorted table with the place of each row.
-
-    The limit is the page the caller asked for; Spark takes the top rows per task
-    first, so only those meet in the final step and are numbered there.
-    """
-    page = df.orderBy(by_column(column, descending), tie).limit(size)
-    place = Window.orderBy(by_column(column, descending), tie)
-    return page.withColumn("place", F.row_number().over(place).cast("bigint"))
-
-
 def sorted_whole(df: DataFrame, column: str, tie: str, descending: bool = False) -> DataFrame:
     """The whole table with each row's place in the order, however large it is.
 

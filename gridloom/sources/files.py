@@ -85,7 +85,7 @@ def folder_status(files: DataFrame, expected: DataFrame, folder: Column, require
     are taken by their place, so commas inside quotes are not looked at.
     """
     numbered = row_provenance(files.select("value"), "line")
-    names = F.transform(F.split("value", ","), F.trim)
+    names = F.transform(F.split("value", ","), lambda n: F.trim(n))
     headers = numbered.where("line = 2").select("file", names.alias("names"))
     cells = F.split("value", ",", -1)
     ends = [F.trim(F.coalesce(F.get(cells, (F.array_position("names", end) - 1).cast("int")), F.lit(""))) for end in REQUIRED[:2]]

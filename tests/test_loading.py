@@ -116,3 +116,21 @@ def test_index_version_and_emptiness(spark, tmp_path):
     index.save_index(chunks.where("false"), str(tmp_path / "e"))
     with pytest.raises(ValueError, match="empty"):
         index.load_index(spark, str(tmp_path / "e"))
+
+
+def test_status_of_many_folders_in_one_pass(spark, tmp_path):
+    written = {
+        "good/a.csv": "Source ,Destination,Distance_km\nx,y,1\n,z,2\n", "two/a.csv": "Source,Destination,Distance_km\nx,y,1\n",
+        "two/b.csv": "Source,Destination,Distance_km\nx,y,1\n", "lacks/a.csv": "Source,Destination\nx,y\n",
+        "norows/a.csv": "Destination,Source,Distance_km\n", "nobody/a.csv": "Type,Destination,Distance_km,Source\nq, ,1,\nq,,2\n", "other/a.txt": "Source"}
+    for name, text in written.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    scan = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(str(tmp_path))
+    expected = spark.createDataFrame([(f,) for f in ("good", "two", "lacks", "norows", "nobody", "other", "absent")], "folder string")
+    got = {r["folder"]: (r["files"], r["rows"], r["status"]) for r in files.folder_status(
+        scan, expected, F.regexp_extract("file", "/([^/]+)/[^/]+$", 1)).collect()}
+    assert got == {
+        "good": (1, 2, "ok"), "two": (2, 2, "multiple CSV files"), "lacks": (1, 1, "missing required column(s): Distance_km"),
+        "norows": (1, 0, "contains no data rows"), "nobody": (1, 2, "no usable station"),
+        "other": (0, 0, "no .csv file found"), "absent": (0, 0, "no .csv file found")}
