@@ -165,16 +165,28 @@ def reserved_slots(hits: DataFrame, top_k: int = TOP_K, reserved: int = RESERVED
 
 
 def composite_search(questions: DataFrame, chunks: DataFrame, top_k: int = TOP_K, reserved: int = RESERVED,
-                     index: str = "index") -> DataFrame:
-    """The index and each caller's own run, scored apart and merged with reserved places."""
+                     index: str = "index", posted: DataFrame | None = None) -> DataFrame:
+    """The index and each caller's own run, scored apart and merged with reserved places.
+
+    `posted` are postings of all `chunks`, where they are stored already.
+    """
     slots = min(reserved, max(1, top_k // 2))
-    top = cut(top_k_per_query(bm25(questions, chunks), top_k)).join(
+    top = cut(top_k_per_query(bm25(questions, chunks, posted), top_k)).join(
         chunks.select("corpus_id", "id", "kind"), ["corpus_id", "id"])
     from_index = top.where(F.col("corpus_id") == index)
     from_run = top.where((F.col("corpus_id") != index) & (F.col("place") <= slots))
     return reserved_slots(best_of_union(from_index, from_run), top_k, reserved)
 
 
+def search_index(questions: DataFrame, stored: DataFrame, posted: DataFrame, runs: DataFrame, top_k: int = TOP_K,
+                 reserved: int = RESERVED) -> DataFrame:
+    """A stored index with its postings, and the chunks of runs, which are posted here and never stored."""
+    same = ["corpus_id", "id", "kind", "title", "locator", "text"]
+    chunks = stored.select(same).unionByName(runs.select(same))
+    both = posted.unionByName(cut(postings(runs)))
+    return composite_search(questions, chunks, top_k, reserved, posted=both)
+
+
 def score_floor(hits: DataFrame) -> DataFrame:
     """Drop weak hits; a run's chunks are scored in a corpus of their own and only need a score."""
     return hits.where((F.col("score") >= MIN_SCORE) | ((F.col("kind") == "solver") & (F.col("score") > 0)))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("clean", "graph", "routes", "tours", "retrieval", "chunks", "names_and_places", "scalars", "tables", "payloads")
+TOPICS = ("clean", "graph", "routes", "tours", "retrieval", "chunks", "names_and_places", "scalars", "tables", "payloads", "own_index")
 
 
 def load_all() -> None:
