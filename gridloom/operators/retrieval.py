@@ -21,6 +21,15 @@ CONTEXT_BUDGET = 6500
 MAX_CHUNK = 1400
 CLIP_MARKER = "\n[... this section continues ...]"
 MIN_QUESTION, MAX_QUESTION = 3, 2000
+
+#: Looking a posting up by chunk and term costs about as much as reading this many from the lists of their terms.
+LOOK_UP_COST = 2
+#: Words of 64 bits in the marks of a chunk.
+MARK_WORDS = 8
+#: Chunks scored for the threshold of a question, times k.
+SCORED_FIRST = 5
+#: More than sums of the same numbers in another order, rounded to nine places, can differ by.
+ROUNDING = 1e-8
 KIND_LABELS = {
     "dataset": "PROJECT DATASET RECORD",
     "doc": "PROJECT DOCUMENTATION / APPROVED REFERENCE",
@@ -92,8 +101,16 @@ def _weighted(terms: DataFrame, frequency: DataFrame, stats: DataFrame) -> DataF
         "df", F.coalesce("df", F.lit(0)))
     seen = F.col("df")
     idf = F.greatest(F.log(1 + (F.col("chunks") - seen + 0.5) / (seen + 0.5)), F.lit(IDF_FLOOR))
-    order = Window.partitionBy("qid", "corpus_id").orderBy(seen, "term")
-    return terms.select("*", idf.alias("idf"), F.row_number().over(order).alias("place"))
+    whole = Window.partitionBy("qid", "corpus_id")
+    placed = terms.select("*", idf.alias("idf"), F.row_number().over(whole.orderBy(seen, "term")).alias("place"))
+    common = F.sum(F.when(_is_rare(), 0).otherwise(seen)).over(whole)
+    looked_up = F.sum(F.when(_is_rare(), seen).otherwise(0)).over(whole) * (F.col("needed") - 1)
+    return placed.withColumn("direct", common <= LOOK_UP_COST * looked_up)
+
+
+def _is_rare() -> Column:
+    """Is a term among those of which every chunk that matches enough has to hold one?"""
+    return F.col("place") <= F.col("n_terms") - F.col("needed") + 1
 
 
 def _contribution() -> Column:
@@ -111,31 +128,111 @@ def _direct(terms: DataFrame, posted: DataFrame) -> DataFrame:
 
 def _rare_first(terms: DataFrame, posted: DataFrame) -> DataFrame:
     """The rare terms find the candidates; the common ones are looked up for those alone."""
-    rare = F.col("place") <= F.col("n_terms") - F.col("needed") + 1
-    found = _direct(terms.where(rare), posted).groupBy("qid", "corpus_id", "id", "needed").agg(
-        F.sum("score").alias("score"), F.sum("matched").alias("matched"))
-    common = terms.where(~rare & (F.col("df") > 0)).select("qid", "corpus_id", "term", "idf", "avg_len")
-    looked_up = (
+    found = _summed(_direct(terms.where(_is_rare()), posted))
+    return found.unionByName(_looked_up(found, terms, posted))
+
+
+def _looked_up(found: DataFrame, terms: DataFrame, posted: DataFrame) -> DataFrame:
+    """What the common terms of a question add to the chunks that its rare ones found."""
+    common = terms.where(~_is_rare() & (F.col("df") > 0)).select("qid", "corpus_id", "term", "idf", "avg_len")
+    return (
         found.select("qid", "corpus_id", "id", "needed").join(common, ["qid", "corpus_id"])
         .join(posted, ["corpus_id", "id", "term"])
         .select("qid", "corpus_id", "id", "needed", _contribution().alias("score"), F.lit(1).cast("bigint").alias("matched")))
-    return found.select("qid", "corpus_id", "id", "needed", "score", "matched").unionByName(looked_up)
+
+
+def _summed(parts: DataFrame, *more: str) -> DataFrame:
+    return parts.groupBy("qid", "corpus_id", "id", "needed", *more).agg(
+        F.sum("score").alias("score"), F.sum("matched").alias("matched"))
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, posted: DataFrame | None = None) -> DataFrame:
-    """Scores of all chunks that match enough of a question: (qid, corpus_id, id, score, matched).
+    """Scores of all chunks that match enough of a question: (qid, corpus_id, id, needed, score, matched).
 
     `questions` has (qid, corpus_id, question); each corpus is scored by its own
     counts. A chunk must match `needed` of a question's n terms, so it matches at
-    least one of any n - needed + 1 of them. Common terms have very long
-    lists, so the rarest n - needed + 1 terms alone find the candidates and the
-    common ones are only looked up for those, whatever the size of the corpus.
+    least one of any n - needed + 1 of them. The rarest n - needed + 1 terms find the
+    candidates and the others are looked up for those, unless the lists of the others
+    are together shorter than the look-ups would be; list lengths decide, per question.
+    """
+    posted = cut(postings(chunks)) if posted is None else posted
+    terms = cut(_weighted(question_terms(questions), document_frequency(posted), corpus_stats(chunks, posted)))
+    parts = _direct(terms.where("direct"), posted).unionByName(_rare_first(terms.where("NOT direct"), posted))
+    return _summed(parts).where("matched >= needed AND score > 0")
+
+
+def _with_block(posted: DataFrame) -> DataFrame:
+    """Postings with the length class of their chunk; lengths of a class differ by a quarter at most."""
+    return posted.withColumn("block", F.floor(4 * F.log(F.greatest(F.col("doc_len"), F.lit(1)))).cast("int"))
+
+
+def block_peaks(posted: DataFrame) -> DataFrame:
+    """Per term and block of chunks of like length, the highest count and the least length: no chunk of the block gains more from it."""
+    return _with_block(posted).groupBy("corpus_id", "term", "block").agg(
+        F.max("tf").alias("tf"), F.min("doc_len").alias("doc_len"))
+
+
+def _slot() -> Column:
+    """The bit that stands for a term in the marks of a chunk."""
+    return F.pmod(F.xxhash64("term"), F.lit(64 * MARK_WORDS)).cast("int")
+
+
+def _marks() -> Column:
+    """The bit map of the terms of a group."""
+    slot = _slot()
+    words = [F.bit_or(F.when(F.floor(slot / 64) == w, F.expr(
+        f"shiftleft(1L, CAST(pmod(xxhash64(term), {64 * MARK_WORDS}) % 64 AS INT))")).otherwise(F.lit(0).cast("bigint"))) for w in range(MARK_WORDS)]
+    return F.array(*words)
+
+
+def chunk_marks(posted: DataFrame) -> DataFrame:
+    """One bit map per chunk with the bits of all its terms: a term whose bit is not set is not in the chunk."""
+    return posted.groupBy("corpus_id", "id").agg(_marks().alias("marks"))
+
+
+def _bits(word) -> Column:
+    """Bits set, over all words; `word` gives the column of a word by its number."""
+    return sum((F.bit_count(word(w)) for w in range(1, MARK_WORDS)), F.bit_count(word(0)))
+
+
+def best_chunks(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, posted: DataFrame | None = None) -> DataFrame:
+    """The `k` best per question and corpus, the same rows as ``top_k_per_query(bm25(...), k)``.
+
+    Only chunks that can be among the best are scored whole. What the common terms
+    of a question can add at most is known per block of chunks (:func:`block_peaks`),
+    and which of them a chunk cannot hold from its marks (:func:`chunk_marks`).
+    The chunks with the highest bounds are scored first; their k-th best score is a
+    threshold, and of the rest only those whose bound reaches it are looked up. A
+    question without k such chunks has no threshold, so all its candidates are scored.
     """
     posted = cut(postings(chunks)) if posted is None else posted
     terms = cut(_weighted(question_terms(questions), document_frequency(posted), corpus_stats(chunks, posted)))
-    return _rare_first(terms, posted).groupBy("qid", "corpus_id", "id", "needed").agg(
-        F.sum("score").alias("score"), F.sum("matched").alias("matched")
-    ).where("matched >= needed AND score > 0")
+    parts = terms.where(_is_rare()).join(_with_block(posted), ["corpus_id", "term"]).select(
+        "qid", "corpus_id", "id", "needed", "block", _contribution().alias("score"), F.lit(1).alias("matched"))
+    ceilings = terms.where(~_is_rare() & (F.col("df") > 0)).join(block_peaks(posted), ["corpus_id", "term"]).groupBy(
+        "qid", "corpus_id", "block").agg(_marks().alias("asked"), F.collect_list(F.struct(
+            F.floor(_slot() / 64).cast("int").alias("word"), (_slot() % 64).alias("bit"), _contribution().alias("gain"))).alias("ways"))
+    shared = _bits(lambda w: F.get("asked", F.lit(w)).bitwiseAND(F.get("marks", F.lit(w))))
+    alike = F.size("ways") - _bits(lambda w: F.get("asked", F.lit(w)))  # terms of the question with a bit in common
+    room = F.aggregate("ways", F.lit(0.0), lambda most, w: F.when(
+        F.getbit(F.get("marks", w.word), w.bit) == 1, most + w.gain).otherwise(most))
+    bounded = cut(
+        _summed(parts, "block").join(ceilings, ["qid", "corpus_id", "block"], "left").join(chunk_marks(posted), ["corpus_id", "id"])
+        .where(F.col("matched") + F.when(F.col("ways").isNull(), 0).otherwise(shared + alike) >= F.col("needed"))
+        .select("qid", "corpus_id", "id", "needed", "score", "matched", (F.col("score") + F.coalesce(room, F.lit(0.0))).alias("bound")))
+
+    def scored(found: DataFrame) -> DataFrame:
+        own = found.select("qid", "corpus_id", "id", "needed", "score", "matched")
+        return _summed(own.unionByName(_looked_up(own, terms, posted))).where("matched >= needed AND score > 0")
+
+    highest = Window.partitionBy("qid", "corpus_id").orderBy(F.desc("bound"), "id")
+    first = scored(bounded.withColumn("at", F.row_number().over(highest)).where(F.col("at") <= SCORED_FIRST * k))
+    falling = Window.partitionBy("qid", "corpus_id").orderBy(F.desc("score"))
+    threshold = first.withColumn("at", F.row_number().over(falling)).where(F.col("at") == k).select(
+        "qid", "corpus_id", F.col("score").alias("threshold"))
+    hopeful = bounded.join(cut(threshold), ["qid", "corpus_id"], "left").where(
+        F.col("bound") + ROUNDING >= F.coalesce("threshold", F.lit(0.0)))
+    return top_k_per_query(scored(hopeful), k)
 
 
 def top_k_per_query(scores: DataFrame, k: int) -> DataFrame:
@@ -171,7 +268,7 @@ def composite_search(questions: DataFrame, chunks: DataFrame, top_k: int = TOP_K
     `posted` are postings of all `chunks`, where they are stored already.
     """
     slots = min(reserved, max(1, top_k // 2))
-    top = cut(top_k_per_query(bm25(questions, chunks, posted), top_k)).join(
+    top = cut(best_chunks(questions, chunks, top_k, posted)).join(
         chunks.select("corpus_id", "id", "kind"), ["corpus_id", "id"])
     from_index = top.where(F.col("corpus_id") == index)
     from_run = top.where((F.col("corpus_id") != index) & (F.col("place") <= slots))

@@ -183,6 +183,13 @@ def top_k_per_query(t):
     return rt.top_k_per_query(rt.bm25(asked(t), chunks(t)), 6)
 
 
+@query("best_chunks", f"""WITH {SCORES}
+SELECT qid, corpus_id, id, round(score, 4) AS score, CAST(place AS INTEGER) AS place FROM tops WHERE place <= 6""")
+def best_chunks(t):
+    """The same rows, with bounds per block of postings and a threshold per question in place of all scores."""
+    return rt.best_chunks(asked(t), chunks(t))
+
+
 @query("best_of_union", f"""WITH {SCORES}
 SELECT qid, corpus_id, id, max(score) AS score FROM (
   SELECT qid, corpus_id, id, round(score, 4) AS score FROM tops WHERE place <= 6

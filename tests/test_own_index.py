@@ -79,6 +79,19 @@ def test_stored_postings_score_as_fresh_ones_and_runs_join_in(spark, tmp_path):
     assert ("run:1", "0") in {(r["corpus_id"], r["id"]) for r in got.collect()}  # its id is that of an index chunk as well
 
 
+def test_best_chunks_are_those_of_all_scores(spark):
+    """Many texts of few words, ties and copies among them, so that bounds are close and bits of marks are shared."""
+    words = [f"word{n}" for n in range(40)]
+    texts = [(f"{n:03}", "doc", None, " ".join(words[(n * n + 3 * i) % (5 + n % 36)] for i in range(n % 60))) for n in range(300)]
+    text = chunks(spark, *texts, *[(f"copy{n}", "doc", None, texts[100][3]) for n in range(9)])
+    asked = spark.createDataFrame(
+        [(f"q{n}", "index", " ".join(words[n:n + 2 + n % 9])) for n in range(30)] + [("none", "index", "unheard"), ("empty", "index", "")],
+        "qid string, corpus_id string, question string")
+    for k in (1, 3, 6):
+        got = rows_of(retrieval.best_chunks(asked, text, k))
+        assert got and got == rows_of(retrieval.top_k_per_query(retrieval.bm25(asked, text), k))
+
+
 def test_the_tariff_is_one_record(spark):
     row = records.tariff_record(spark).first()
     assert row["id"] == "tariff:basis" and row["text"] == records.tariff_text() and "6.60" in row["text"]
