@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from gridloom.operators import hubs
 from gridloom.operators import long_tours as lt
 from gridloom.operators import paths as sp
 from gridloom.operators import tours as tr
+from gridloom.session import shared_dir
 
 
 def all_distances(edges):
@@ -292,3 +294,34 @@ def test_long_chain_is_one_component(spark):
         "distance_km", F.lit(1).cast("decimal(18,3)"))
     stations = spark.createDataFrame([(f"n{i:03d}",) for i in range(61)], "name string")
     assert cc.connected_components(stations, edges).select("component").distinct().count() == 1
+
+
+def test_matrices_from_labels_equal_those_from_pairs(spark):
+    """Instances that overlap, one with a station that no line reaches, one of a single station."""
+    net = frame(spark, [*random_edges(6, 20), ("x", "y", 2)])
+    names = sorted({r["a"] for r in net.collect()} | {r["b"] for r in net.collect()})
+    members = spark.createDataFrame(
+        [("i", n) for n in names[:5]] + [("j", n) for n in names[3:9]] + [("apart", n) for n in ("x", "y", "alone", names[0])] + [("one", "y")],
+        "instance_id string, name string")
+    labels = hubs.hub_labels(net)
+    pairs = hubs.pair_distances(tr.member_pairs(members).select("origin", "node"), labels)
+    want = {tuple(map(str, r)) for r in tr.cost_pairs(members, pairs).collect()}
+    tables = hubs.label_matrices(tr.fitting_members(members), labels)
+    assert {tuple(map(str, r)) for r in tr.table_costs(tables).collect()} == want
+    whole = members.where("instance_id IN ('i', 'j', 'one')")
+    assert {str(r) for r in tr.whole(hubs.label_matrices(whole, labels)).collect()} == {
+        str(r) for r in tr.matrices(tr.cost_pairs(whole, pairs)).collect()}
+    with pytest.raises(Exception, match="not connected"):
+        tr.whole(tables).collect()
+
+
+def test_a_search_of_many_rounds_stores_its_last_two(spark):
+    """A chain takes a round per station; what earlier rounds wrote does not stay in the shared folder."""
+    folder = Path(shared_dir(spark))
+    net = frame(spark, [(f"n{k:02d}", f"n{k + 1:02d}", 1) for k in range(30)])
+    origins = spark.createDataFrame([("n00",)], "origin string")
+    for search in (lambda: sp.shortest_paths(net, origins), lambda: sp.nearest_stations(net, origins, 29), lambda: hubs.hub_labels(net)):
+        before = set(folder.rglob("*")) | set(folder.glob("*"))
+        assert search().count() > 0
+        made = {p.parent for p in set(folder.rglob("part-*")) - before}
+        assert 0 < len(made) <= 5
