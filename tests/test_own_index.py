@@ -92,6 +92,18 @@ def test_best_chunks_are_those_of_all_scores(spark):
         assert got and got == rows_of(retrieval.top_k_per_query(retrieval.bm25(asked, text), k))
 
 
+def test_matches_are_not_shuffled(spark, monkeypatch):
+    """Scores are whole in the task that made them; many small blocks of questions give what one gives. No whole text meets the hits."""
+    text = chunks(spark, *[(f"{n:03}", "doc", "title", f"alpha word{n % 7} beta word{n % 5}") for n in range(60)])
+    asked = spark.createDataFrame([(f"q{n}", "index", f"alpha word{n} beta") for n in range(9)], "qid string, corpus_id string, question string")
+    scores = retrieval.bm25(asked, text)
+    assert "hashpartitioning(qid" not in scores._jdf.queryExecution().toString()
+    whole = rows_of(retrieval.best_chunks(asked, text))
+    monkeypatch.setattr(retrieval, "SENT_TERMS", 5)
+    assert rows_of(retrieval.best_chunks(asked, text)) == whole and rows_of(retrieval.bm25(asked, text).select("qid", "id", F.round("score", 6))) == rows_of(
+        scores.select("qid", "id", F.round("score", 6)))
+
+
 def test_the_tariff_is_one_record(spark):
     row = records.tariff_record(spark).first()
     assert row["id"] == "tariff:basis" and row["text"] == records.tariff_text() and "6.60" in row["text"]
