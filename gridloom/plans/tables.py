@@ -147,7 +147,7 @@ def index_determinism(t):
     def build():
         return document_chunks(t.md_docs, "lang", "PROJECT DOCUMENTATION").drop("metadata")
 
-    return ql.index_determinism(build(), build().repartition(3))
+    return ql.index_determinism(build(), build().repartition("id"))
 
 
 @query("dataset_status", """
