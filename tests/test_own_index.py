@@ -104,6 +104,20 @@ def test_matches_are_not_shuffled(spark, monkeypatch):
         scores.select("qid", "id", F.round("score", 6)))
 
 
+def test_counts_stay_with_their_chunk_and_sums_are_of_numbers(spark):
+    """Texts are dealt by chunk before they are cut, rows that share an id included; scores are summed by numbers, not by names."""
+    text = chunks(spark, *[(f"{n:03}", "doc", "title", f"alpha word{n % 7} beta") for n in range(40)], ("000", "doc", None, "alpha gamma"))
+    posted = retrieval.postings(text)
+    dealt = [line for line in posted._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line]
+    assert dealt and not any("term" in line for line in dealt)
+    assert {r["term"]: r["tf"] for r in posted.where("id = '000'").collect()}["alpha"] == 2
+    asked = spark.createDataFrame([("q", "index", "alpha beta word3"), ("r", "index", "gamma")], "qid string, corpus_id string, question string")
+    scores = retrieval.bm25(asked, text)
+    assert "keys=[asked" in scores._jdf.queryExecution().executedPlan().toString()
+    assert scores.columns == ["qid", "corpus_id", "id", "needed", "score", "matched"]
+    assert {(r["qid"], r["id"], r["matched"]) for r in scores.where("qid = 'r'").collect()} == {("r", "000", 1)}
+
+
 def test_the_tariff_is_one_record(spark):
     row = records.tariff_record(spark).first()
     assert row["id"] == "tariff:basis" and row["text"] == records.tariff_text() and "6.60" in row["text"]
