@@ -134,3 +134,15 @@ def test_status_of_many_folders_in_one_pass(spark, tmp_path):
         "good": (1, 2, "ok"), "two": (2, 2, "multiple CSV files"), "lacks": (1, 1, "missing required column(s): Distance_km"),
         "norows": (1, 0, "contains no data rows"), "nobody": (1, 2, "no usable station"),
         "other": (0, 0, "no .csv file found"), "absent": (0, 0, "no .csv file found")}
+
+
+def test_every_page_is_a_file_of_its_own(spark, tmp_path):
+    """Pages that share an id, hold line breaks or are empty come back whole; no folder per page is listed."""
+    from gridloom.plans.inputs import Inputs
+    from gridloom.plans.payloads import whole_file_scan
+
+    rows = [(1, "one\ntwo"), (1, "again"), (2, ""), (3, "7\n\n")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = whole_file_scan(Inputs(spark, str(tmp_path)))
+    assert not any("page_id=" in f for f in got.inputFiles())
+    assert sorted((r["page_id"], r["size"]) for r in got.collect()) == sorted((i, len(h)) for i, h in rows)
