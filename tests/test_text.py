@@ -132,3 +132,15 @@ def test_row_local_operators_run_on_a_stream(spark, tmp_path):
     running.stop()
     assert {r["violation"] for r in spark.table("broken").collect()} == {
         "line_type_not_null", "distance_km_not_null", "capacity_mw_not_null", "loss_percent_range"}
+
+
+def test_number_texts_need_no_pattern(spark):
+    """Trimming gives what the pattern gave: trailing zeros go, zeros before the point stay."""
+    from gridloom.functions import text
+
+    numbers = spark.createDataFrame([(v,) for v in (100.0, 1200.0, 0.0, 0.5, -10.0, 1234.56, 1e6, float("nan"), float("inf"), None)], "v double")
+    made = numbers.select("v", text.number_text(F.col("v"), "km").alias("got"))
+    assert "regexp_replace" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    shown = F.concat(F.regexp_replace(F.format_number("v", 3), r"\.?0+$", ""), F.lit(" km"))
+    wanted = made.select("got", F.when(F.col("v").isNotNull() & ~F.isnan("v"), shown).otherwise(text.NOT_RECORDED).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in wanted)
