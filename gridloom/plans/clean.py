@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import money, text
 from gridloom.operators import stations as st
 from gridloom.plans.registry import query
-from gridloom.session import cut
+from gridloom.session import kept
 
 
 @query("clean_name", """
@@ -104,7 +104,8 @@ UNION ALL SELECT r.row_number, 'coordinate_conflict', r.name FROM readings r JOI
 UNION ALL SELECT row_number, 'duplicate_pair', a || ' <-> ' || b FROM ({DUPLICATES}) WHERE row_number > first_row
 UNION ALL SELECT NULL, 'no_coordinates', name FROM stations WHERE f IS NULL""")
 def load_warnings(t):
-    return st.load_warnings(cut(t.survey))
+    return st.load_warnings(kept(t.survey.select(
+        "row_number", "source", "destination", "line_type", "src_lat", "src_lon", "dst_lat", "dst_lon", "distance_km"), "survey"))
 
 
 @query("loss_cost", """
