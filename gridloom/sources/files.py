@@ -117,7 +117,7 @@ def row_provenance(rows: DataFrame, name: str = "row_number") -> DataFrame:
     blocks = placed.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
     starts = blocks.select("_file", "_block", "_first", before.alias("_before"))
-    return placed.join(starts, ["_file", "_block"]).select(
+    return join_hot(placed, starts, ["_file", "_block"]).select(
         *rows.columns, F.col("_file").alias("file"), (F.col("_before") + F.col("_id") - F.col("_first") + 2).alias(name))
 
 
