@@ -65,3 +65,20 @@ def test_rows_of_files_are_numbered_without_a_shuffle(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan_of(rows)
     per_file = rows.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("line").alias("d"), F.min("line").alias("lo"), F.max("line").alias("hi"))
     assert per_file.where("n <> d OR lo <> 2 OR hi <> n + 1").isEmpty()
+
+
+def test_a_word_is_taken_once_per_text_for_frequencies(spark):
+    chunks = spark.createDataFrame(
+        [("a", "1", "One_two", "x->y", "Lines line lined one 2.5 2.5"), ("a", "1", "", "", "line again"), ("b", "1", "", "", "the of"), ("b", "2", None, "", "")],
+        "corpus_id string, id string, title string, locator string, text string")
+    held, posted = rt.holdings(chunks), rt.postings(chunks)
+    assert sorted(held.collect()) == sorted(posted.select("corpus_id", "term", "id").collect())
+    assert sorted(rt.document_frequency(held).collect()) == sorted(rt.document_frequency(posted).collect())
+    assert {r["term"] for r in held.collect()} >= {"one", "two", "x", "y", "line", "2.5"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver tables are not here")
+def test_pairs_of_the_grid_are_grouped_by_their_numbers(spark):
+    plan = plan_of(Inputs(spark, SF).grid_pairs)
+    assert "Exchange hashpartitioning(o_custkey" in plan
+    assert "SortMergeJoin" not in plan
