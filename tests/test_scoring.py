@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import retrieval as rt
@@ -45,3 +47,47 @@ def test_a_question_without_a_chunk_in_reach_and_none_at_all(spark):
     asked = spark.createDataFrame([("q", "index", "unheard"), ("r", "none", "alpha")], "qid string, corpus_id string, question string")
     assert rt.bm25(asked, text).isEmpty() and rt.best_chunks(asked, text).isEmpty()
     assert rt.best_chunks(asked.where(F.lit(False)), text).isEmpty()
+
+
+def test_rows_for_the_sums_have_no_list_that_is_null(spark, monkeypatch):
+    """Spark measures a batch after each of its rows, and goes over all NULLs at the end of a list column for it."""
+    text = spark.createDataFrame([("index", "1", "doc", "t", "l", "alpha beta")], "corpus_id string, id string, kind string, title string, locator string, text string")
+    asked = spark.createDataFrame([("q", "index", "alpha")], "qid string, corpus_id string, question string")
+    seen, frame = [], type(text)
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, *a, f=frame.mapInArrow, **b: (seen.append(df), f(df, *a, **b))[1])
+    assert rt.best_chunks(asked, text).count() == rt.bm25(asked, text).count() == 1
+    assert [df.where("lists IS NULL").count() for df in seen] == [0, 0] and all(df.count() > 1 for df in seen)
+
+
+def _shard(parts):
+    shard = scoring.Shard(0)
+    at, owner, part = zip(*parts, strict=True)
+    shard.take(scoring.PART, pa.RecordBatch.from_pydict({"a": pa.array(owner), "b": pa.array(at), "x": pa.array(part)}))
+    shard.ready()
+    return shard
+
+
+def test_the_best_of_a_rare_term_are_found_without_all_chunks_of_common_ones(monkeypatch):
+    """Every line record has the words of a question on losses, few its station."""
+    shard = _shard([(w, c, 0.1 + c % 7 / 100) for w in (0, 1) for c in range(200_000)] + [(2, c, 5.0 + c % 3) for c in range(0, 200_000, 20_000)])
+    lists = np.array([0, 1, 2])
+    place, score, _ = shard.scores(lists, 2)
+    wanted = sorted(zip(score[best := scoring._best(score, 3)], place[best], strict=True))
+    monkeypatch.setattr(scoring.Shard, "scores", lambda *_: pytest.fail("all chunks were summed"))
+    place, score = shard.best(lists, 2, 3)
+    best = scoring._best(score, 3)
+    assert np.allclose(sorted(zip(score[best], place[best], strict=True)), wanted) and len(place) == 10
+
+
+def test_the_best_equal_those_of_all_sums(monkeypatch):
+    monkeypatch.setattr(scoring, "FEW", 1)
+    some = np.random.default_rng(7)
+    for begin in (1, 20, 400):
+        monkeypatch.setattr(scoring, "BEGIN", begin)
+        shard = _shard([(w, c, float(some.integers(1, 9)) / (w + 1)) for w in range(8) for c in some.choice(300, 300 // (w + 1), replace=False)])
+        for needed, k in ((1, 1), (1, 6), (3, 6), (7, 4), (8, 300)):
+            lists = some.permutation(8)
+            place, score, _ = shard.scores(lists, needed)
+            near, sums = shard.best(lists, needed, k)
+            best, found = scoring._best(score, k), scoring._best(sums, k)
+            assert np.allclose(sorted(zip(place[best], score[best], strict=True)), sorted(zip(near[found], sums[found], strict=True)))
