@@ -130,3 +130,12 @@ def test_every_line_is_found_and_nothing_off_the_topic(spark):
     others = [r for r in out if r["qid"].startswith("off:")]
     assert len(lines) > 100 and len(others) == 5
     assert all(r["passed"] for r in lines + others)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver tables are not here")
+def test_record_chunks_hold_stations_network_and_tariff_beside_lines(spark):
+    from gridloom.plans.registry import QUERIES
+
+    ids = QUERIES["record_chunks"](spark, SF).selectExpr("substring_index(id, ':', 1) AS family").distinct()
+    families = {r["family"] for r in ids.collect()}
+    assert families == {"line", "station", "network", "tariff"}

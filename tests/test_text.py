@@ -144,3 +144,13 @@ def test_number_texts_need_no_pattern(spark):
     shown = F.concat(F.regexp_replace(F.format_number("v", 3), r"\.?0+$", ""), F.lit(" km"))
     wanted = made.select("got", F.when(F.col("v").isNotNull() & ~F.isnan("v"), shown).otherwise(text.NOT_RECORDED).alias("want")).collect()
     assert all(r["got"] == r["want"] for r in wanted)
+
+
+def test_a_line_record_has_its_ends_row_and_figures_as_metadata(spark):
+    rows = spark.sql("""SELECT '7' AS row_number, 'Alpha' AS source, 'Beta' AS destination, 'hydro' AS line_type, CAST(1.5 AS DECIMAL(18,3)) AS distance_km,
+      CAST(1 AS BIGINT) AS voltage_kv, CAST(NULL AS DECIMAL(18,3)) AS capacity_mw, CAST(NULL AS DECIMAL(9,3)) AS loss_percent, CAST(x AS DECIMAL(18,4)) AS energy_loss_mw
+      FROM VALUES ('2'), (NULL) AS v(x)""")
+    priced, plain = (r["metadata"] for r in rc.line_records(rows, "file").orderBy(F.col("metadata")["energy_loss_mw"].desc()).collect())
+    assert priced == {"source": "Alpha", "destination": "Beta", "csv_row": "7", "distance_km": "1.500", "energy_loss_mw": "2.0000",
+                      "loss_cost_per_hour_inr": "13200.0000", "loss_cost_per_year_inr": "115632000.0000"}
+    assert plain["csv_row"] == "7" and plain["energy_loss_mw"] is plain["loss_cost_per_hour_inr"] is plain["loss_cost_per_year_inr"] is None
