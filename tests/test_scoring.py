@@ -111,3 +111,19 @@ def test_questions_with_the_same_common_terms_sum_them_once(monkeypatch):
         best = scoring._best(score, 6)
         assert np.allclose(sorted(zip(score[best], place[best], strict=True)), want)
     assert len(calls) == 2 and np.all(np.diff(place) > 0)
+
+
+def test_terms_of_many_small_corpora_do_not_make_the_large_one_meet_its_terms_in_a_shuffle(spark, monkeypatch):
+    """Beyond `SENT_BYTES` of terms in all, every posting of the index was shuffled once more to meet them."""
+    text = spark.createDataFrame(
+        [("index", f"{n:03}", "doc", "t", "l", "alpha beta") for n in range(9)] + [(f"run:{n}", "0", "solver", "t", "l", f"word{n} beta") for n in range(9)],
+        "corpus_id string, id string, kind string, title string, locator string, text string")
+    asked = spark.createDataFrame(
+        [("q", "index", "alpha beta")] + [(f"r{n}", f"run:{n}", f"word{n} beta") for n in range(9)], "qid string, corpus_id string, question string")
+    wanted = sorted(rt.best_chunks(asked, text).collect())
+    monkeypatch.setattr(rt, "SPREAD_CHUNKS", 5)
+    joined, join = [], rt.join_hot
+    monkeypatch.setattr(rt, "join_hot", lambda large, other, keys: (joined.append((large, other)), join(large, other, keys))[1])
+    assert sorted(rt.best_chunks(asked, text).collect()) == wanted and len(wanted) == 6 + 9
+    (large, other), = joined
+    assert {r["corpus_id"] for r in large.collect()} == {r["corpus_id"] for r in other.collect()} == {"index"}
